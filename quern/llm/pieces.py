@@ -8,8 +8,9 @@ border. A sequence of pieces is what merging yields exactly when all neighbourin
 least weight is the library's own result. Composition with an input is lazy: states are (position,
 piece before), and only arcs that leave states of finite weight are looked up.
 
-No piece has U+2581 after another character, and none holds a character without a piece, so
-inputs fall apart there, and the least path of each part is remembered by the worker.
+No piece has U+2581 after another character or holds a character without a piece, and in many models none has a
+letter before a character that is none. Inputs fall apart there: no merge crosses such a border, and any arc
+after it weighs nothing. The least path of each part is remembered by the worker.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -30,9 +32,12 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MOST_BYTES = 64 << 20
 BAR = "▁"
 #: Parts, and stable or crossing pairs, that a worker remembers before it starts afresh.
-CACHE_PARTS, CACHE_PAIRS = 250_000, 1_000_000
+CACHE_PARTS, CACHE_PAIRS = 400_000, 1_000_000
 INFINITE = float("inf")
-PARTS = re.compile(f"{BAR}*[^{BAR}]+|{BAR}+")
+LETTER = re.compile(r"[^\W\d_]")
+#: Inputs fall apart before U+2581, and where no piece has a letter before another character also there.
+COARSE = re.compile(f"{BAR}*[^{BAR}]+|{BAR}+")
+FINE = re.compile(rf"{BAR}*[^\W\d_]+|{BAR}*(?:(?![^\W\d_])[^{BAR}])+[^\W\d_]*|{BAR}+")
 NORMAL, BYTE = 1, 6
 
 
@@ -63,11 +68,18 @@ class Transducer(dict):
                 self.bytes[int(p[3:5], 16)] = i
                 self.byte_of[i] = int(p[3:5], 16)
             self.outputs.append(p if kind == NORMAL else "" if kind == 3 else " ⁇ ")
-        self.longest = max(map(len, self.ids))
         self.number = list(range(len(pieces)))  # one object an id, so that remembered paths share them
         self.pairs: dict[int, float] = {}
         self.letters = {c for p in self.ids for c in p}
-        self.arcs = {p: i for p, i in self.ids.items() if len(p) == 1 or self.merged(p) == [p]}
+        linked = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
+        self.parts = COARSE if any(LETTER.match(a) and not LETTER.match(b) for a, b in linked) else FINE
+        self.trie: dict = {}
+        for p, i in self.ids.items():
+            if len(p) == 1 or self.merged(p) == [p]:
+                node = self.trie
+                for c in p:
+                    node = node.setdefault(c, {})
+                node[""] = i
         if any(BAR in p.lstrip(BAR) for p in self.ids) or any(c not in self.ids for c in self.letters):
             raise ValueError("pieces that span words or lack their letters are not supported")
 
@@ -89,60 +101,60 @@ class Transducer(dict):
         """Of the arc for piece b after piece a."""
         return 0.0 if self.merged(a + b) == [a, b] else INFINITE
 
-    def shortest(self, text: str) -> list[str]:
-        """The path of least weight over a text of letters the pieces know."""
-        arcs, pairs, longest, n = self.arcs, self.pairs, self.longest, len(text)
-        # state: (position, piece before) -> (weight, piece, state before)
-        at: list[list[tuple[float, str, tuple | None]] | None] = [None] * (n + 1)
-        at[0] = [(0.0, "", None)]
-        for i in range(n):
-            states = at[i]
-            if states is None:
-                continue
-            for j in range(i + 1, min(n, i + longest) + 1):
-                piece = text[i:j]
-                k = arcs.get(piece)
-                if k is None:
+    def shortest(self, text: str) -> list[int]:
+        """The path of least weight over a text of letters that the pieces know."""
+        pairs, root, n, done = self.pairs, self.trie, len(text), set()
+        # Best first: weights are zero or infinite, so the first path to reach the end is a least one. Of equals the
+        # one with the longest last piece goes first. An arc is weighed when its turn comes, a state is left once.
+        open_states: list[tuple] = [(0, -1, None)]  # position, id of the piece before, state before
+        while True:
+            state = open_states.pop()
+            i, k, via = state
+            if via is not None:
+                if i << 20 | k in done:
                     continue
-                for state in states:
-                    before = state[1]
-                    if before:
-                        key = arcs[before] << 20 | k
-                        w = pairs.get(key)
-                        if w is None:
-                            if len(pairs) > CACHE_PAIRS:
-                                pairs.clear()
-                            pairs[key] = w = self.weight(before, piece)
-                        if w == INFINITE:
-                            continue
-                        w += state[0]
-                    else:
-                        w = state[0]
-                    to = at[j]
-                    if to is None:
-                        at[j] = [(w, piece, state)]
-                    else:
-                        to.append((w, piece, state))
-        state = min(at[n], key=lambda s: s[0])
-        path = []
+                before = via[1]
+                if before >= 0:
+                    w = pairs.get(before << 20 | k)
+                    if w is None:
+                        if len(pairs) > CACHE_PAIRS:
+                            pairs.clear()
+                        pairs[before << 20 | k] = w = self.weight(self.outputs[before], self.outputs[k])
+                    if w == INFINITE:
+                        continue
+                if i == n:
+                    break
+                done.add(i << 20 | k)
+            node = root
+            for j in range(i, n):
+                node = node.get(text[j])
+                if node is None:
+                    break
+                k = node.get("")
+                if k is not None:
+                    open_states.append((j + 1, k, state))
+        back = []
         while state[2] is not None:
-            path.append(state[1])
+            back.append(self.number[state[1]])
             state = state[2]
-        return path[::-1]
+        return back[::-1]
 
     def __missing__(self, part: str) -> tuple[int, ...]:
         letters, number, out, run = self.letters, self.number, [], 0
-        for k, c in enumerate(part):
-            if c not in letters:
-                if k > run:
-                    out += [self.ids[p] for p in self.shortest(part[run:k])]
-                out += [self.bytes[b] for b in c.encode("utf-8", "surrogatepass")]
-                run = k + 1
-        if len(part) > run:
-            out += [self.ids[p] for p in self.shortest(part[run:])]
+        if letters.issuperset(part):
+            out = self.shortest(part)
+        else:
+            for k, c in enumerate(part):
+                if c not in letters:
+                    if k > run:
+                        out += self.shortest(part[run:k])
+                    out += [number[self.bytes[b]] for b in c.encode("utf-8", "surrogatepass")]
+                    run = k + 1
+            if len(part) > run:
+                out += self.shortest(part[run:])
         if len(self) > CACHE_PARTS:
             self.clear()
-        self[part] = path = tuple([number[i] for i in out])
+        self[part] = path = tuple(out)
         return path
 
     def normalised(self, text: str) -> str:
@@ -150,7 +162,7 @@ class Transducer(dict):
         return BAR + text if text and self.prefix else text
 
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(map(self.__getitem__, PARTS.findall(self.normalised(text)))))
+        return list(chain.from_iterable(map(self.__getitem__, self.parts.findall(self.normalised(text)))))
 
     def decode(self, ids: list[int]) -> str:
         outputs, byte_of = self.outputs, self.byte_of
@@ -171,6 +183,12 @@ def model_bytes(path: str) -> bytes:
         return f.read()
 
 
+@lru_cache(maxsize=2)
+def machine_of(data: bytes) -> Transducer:
+    """The machine of a model, kept by the worker from task to task with what it remembers."""
+    return Transducer(data)
+
+
 def lists(rows: list[list[int]]) -> pa.ListArray:
     ends = np.zeros(len(rows) + 1, np.int32)
     np.cumsum([len(r) for r in rows], out=ends[1:])
@@ -179,7 +197,7 @@ def lists(rows: list[list[int]]) -> pa.ListArray:
 
 def encoded(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = Transducer(shared.value)
+        machine = machine_of(shared.value)
         for batch in batches:
             for part in slices(batch, limit=1 << 20):
                 texts = [t.decode("utf-8", "replace") for t in part.column("text").to_pylist()]
@@ -210,7 +228,7 @@ def decode(tokens: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", mode
     shared = tokens.sparkSession.sparkContext.broadcast(model_bytes(model_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = Transducer(shared.value)
+        machine = machine_of(shared.value)
         for batch in batches:
             texts = [machine.decode([i for i in x or [] if i is not None]) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
