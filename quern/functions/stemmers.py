@@ -169,9 +169,6 @@ def stem(col: Column, stemmer: str) -> Column:
     return run(col)
 
 
-def stem_terms(df: DataFrame, col: str, stemmer: str) -> DataFrame:
-    """``df`` with ``col`` stemmed; each distinct word is stemmed once."""
-    if stemmer == "none":
-        return df
-    table = df.select(F.col(col).alias("__w")).distinct().withColumn("__s", stem(F.col("__w"), stemmer))
-    return df.join(table, F.col(col) == F.col("__w"), "left").withColumn(col, F.col("__s")).drop("__w", "__s")
+def stem_terms(words: DataFrame, col: str, stemmer: str) -> DataFrame:
+    """Distinct ``words`` with their ``stem``."""
+    return words.withColumn("stem", stem(F.col(col), stemmer))

@@ -8,8 +8,8 @@ import unicodedata
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Runs of digits and ASCII punctuation become one space.
-NOISE = r"[0-9!-/:-@\[-`{-~]+"
+#: Runs of digits and ASCII punctuation become one space; words are parted by these blanks.
+NOISE = r"[0-9\p{Punct}]+"
 BLANK = r"[ \t\n\f\r]+"
 #: A vocabulary up to this many terms is compiled into one pattern; a larger one is joined.
 PATTERN_TERMS = 50_000

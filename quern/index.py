@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import stemmers, text
-from .functions.stopwords import LISTS
+from .functions.stopwords import stop_words
 from .operators.phrases import phrase_vocabulary
 from .storage import exists, number_rows, remove, rename, shared_dir, stage
 
@@ -94,11 +94,11 @@ def number_documents(corpus: DataFrame) -> DataFrame:
     return number_rows(rows.where("name IS NOT NULL"), "docid", "name")
 
 
-def regex_counts(docs: DataFrame, stopwords: str = "none", stemmer: str = "none") -> DataFrame:
+def regex_counts(docs: DataFrame, stopwords: list[str] | None = None, stemmer: str = "none") -> DataFrame:
     """(docid, term, tf) of the non-empty words that are not stop words, stemmed."""
     words = docs.select("docid", F.explode(text.regex_tokens(F.col("content"))).alias("term")).where("term <> ''")
-    if LISTS[stopwords]:
-        words = words.where(~F.col("term").isin(*sorted(LISTS[stopwords])))
+    if stopwords:
+        words = words.where(~F.col("term").isin(*stopwords))
     counts = words.groupBy("docid", "term").agg(F.count("*").alias("tf"))
     if stemmer == "none":
         return counts
@@ -106,6 +106,13 @@ def regex_counts(docs: DataFrame, stopwords: str = "none", stemmer: str = "none"
     return counts.join(stems, "term").groupBy("docid", F.col("stem").alias("term")).agg(F.sum("tf").alias("tf"))
 
 
+def term_positions(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(docid, pos, termid): every non-empty word of the regex tokenizer with its place among them, from 1; no window."""
+    words = F.filter(text.regex_tokens(F.col("content")), lambda w: w != "")
+    rows = docs.select("docid", F.posexplode(words).alias("at", "term"))
+    return rows.join(vocabulary.select("termid", "term"), "term").select("docid", (F.col("at") + 1).cast("long").alias("pos"), "termid")
+
+
 def longest_counts(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(docid, term, tf) of the greedy longest matches of ``vocabulary(term)`` in the cleaned texts."""
     cleaned = docs.select("docid", text.clean(F.col("content")).alias("content"))
@@ -123,7 +130,7 @@ def top_terms(frequencies: DataFrame, most: int) -> DataFrame:
     return number_rows(best, "termid", F.desc("df"), F.asc("term")).select("termid", "term", "df")
 
 
-def assemble(docs: DataFrame, counts: DataFrame, vocabulary: DataFrame, stopwords: str, index_type: str, stemmer: str, tokenizer: str) -> Index:
+def assemble(docs: DataFrame, counts: DataFrame, vocabulary: DataFrame, stopwords: list[str], index_type: str, stemmer: str, tokenizer: str) -> Index:
     """The index of ``counts(docid, term, tf)`` over ``vocabulary(termid, term, df)``."""
     spark = docs.sparkSession
     postings = counts.join(vocabulary.select("termid", "term"), "term").select("termid", "docid", F.lit(0).cast("long").alias("fieldid"), "tf")
@@ -134,12 +141,12 @@ def assemble(docs: DataFrame, counts: DataFrame, vocabulary: DataFrame, stopword
         {"index_type": F.lit(index_type), "stemmer": F.lit(stemmer), "tokenizer": F.lit(tokenizer)}
     )
     fields = spark.createDataFrame([(0, "content")], "fieldid long, field string")
-    stop = spark.createDataFrame([(w,) for w in sorted(LISTS[stopwords])], "sw string")
+    stop = spark.createDataFrame([(w,) for w in stopwords], "sw string")
     return Index(docs, vocabulary.select("termid", "term", "df"), postings, fields, stop, stats)
 
 
 def build_index(
-    corpus: DataFrame, mode: str = "standard", stemmer: str = "none", stopwords: str = "none", limit: int = -1, min_freq: int = 10, min_pmi: float = 5.0
+    corpus: DataFrame, mode: str = "standard", stemmer: str = "none", stopwords="none", limit: int = -1, min_freq: int = 10, min_pmi: float = 5.0
 ) -> Index:
     """Index of corpus(did, content).
 
@@ -150,12 +157,13 @@ def build_index(
     """
     if mode not in ("standard", "words", "phrases"):
         raise ValueError(f"unknown mode {mode!r}")
+    stop = stop_words(corpus.sparkSession, stopwords)
     docs = number_documents(corpus)
     if mode == "phrases":
-        vocabulary = stage(phrase_vocabulary(docs, "docid", "content", min_freq, min_pmi, stopwords).select("term").distinct(), "vocabulary")
+        vocabulary = stage(phrase_vocabulary(docs, "docid", "content", min_freq, min_pmi, stop).select("term").distinct(), "vocabulary")
         counts = stage(longest_counts(docs, vocabulary), "counts")
     else:
-        counts = stage(regex_counts(docs, stopwords, stemmer if mode == "standard" else "none"), "counts")
+        counts = stage(regex_counts(docs, stop, stemmer if mode == "standard" else "none"), "counts")
     if mode != "standard" and limit > 0:
         kept = stage(top_terms(document_frequencies(counts), limit), "top-terms")
         counts = stage(longest_counts(docs, kept), "counts")
@@ -163,4 +171,4 @@ def build_index(
     else:
         vocabulary = number_rows(document_frequencies(counts), "termid", "term")
     tokenizer = "regex" if mode == "standard" else "longest"
-    return assemble(docs, counts, vocabulary, stopwords, "standard" if mode == "standard" else mode, stemmer, tokenizer)
+    return assemble(docs, counts, vocabulary, stop, "standard" if mode == "standard" else mode, stemmer, tokenizer)

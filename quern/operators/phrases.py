@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.stopwords import LISTS
 from ..functions.text import regex_tokens
 
 
@@ -54,12 +53,11 @@ def pmi_phrases(df: DataFrame, doc: str, text: str, min_freq: int = 2, min_pmi:
     return pairs.select(F.concat_ws(" ", "w1", "w2").alias("phrase"), pmi.alias("pmi"), F.col("doc_freq").alias("df")).where(F.col("pmi") >= min_pmi)
 
 
-def phrase_vocabulary(df: DataFrame, doc: str, text: str, min_freq: int = 10, min_pmi: float = 5.0, stopwords: str = "none") -> DataFrame:
+def phrase_vocabulary(df: DataFrame, doc: str, text: str, min_freq: int = 10, min_pmi: float = 5.0, stopwords: list[str] | None = None) -> DataFrame:
     """term, df: phrases without a stop word, then non-empty words that are no stop words and occur min_freq times."""
     phrases = pmi_phrases(df, doc, text, min_freq, min_pmi)
     words = token_frequencies(df, doc, text).where((F.col("freq") >= min_freq) & (F.col("token") != ""))
-    if LISTS[stopwords]:
-        stop = sorted(LISTS[stopwords])
-        phrases = phrases.where(~F.arrays_overlap(F.split("phrase", " "), F.array(*map(F.lit, stop))))
-        words = words.where(~F.col("token").isin(*stop))
+    if stopwords:
+        phrases = phrases.where(~F.exists(F.split("phrase", " "), lambda w: w.isin(*stopwords)))
+        words = words.where(~F.col("token").isin(*stopwords))
     return phrases.select(F.col("phrase").alias("term"), "df").unionByName(words.select(F.col("token").alias("term"), F.col("doc_freq").alias("df")))
