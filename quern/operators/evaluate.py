@@ -10,6 +10,11 @@ P_CUTS = (5, 10, 15, 20, 30, 100, 200, 500, 1000)
 RECALLS = tuple(i / 10 for i in range(11))
 
 
+def iprec(recall: float) -> str:
+    """The column of a recall level; ``measures`` names it with a point."""
+    return f"iprec_at_recall_{recall:.2f}".replace(".", "_")
+
+
 def ranked(run: DataFrame) -> DataFrame:
     """qid, docno, rank from 1: by score, ties by falling docno."""
     order = W.partitionBy("qid").orderBy(F.desc("score"), F.desc("docno"))
@@ -38,7 +43,7 @@ def per_query(run: DataFrame, qrels: DataFrame, complete: bool = False, ndcg: bo
         "bpref": F.sum(F.when(hit, F.when(F.col("bads") == 0, 1.0).otherwise(1.0 - F.least("bads", "num_rel") / held))),
         "recip_rank": F.max(F.when(hit, 1.0 / F.col("rank"))),
     }
-    sums |= {f"iprec_at_recall_{r:.2f}": F.max(F.when(F.col("hits") >= F.floor(F.lit(r) * F.col("num_rel") + 0.9), F.col("prec"))) for r in RECALLS}
+    sums |= {iprec(r): F.max(F.when(F.col("hits") >= F.floor(F.lit(r) * F.col("num_rel") + 0.9), F.col("prec"))) for r in RECALLS}
     sums |= {f"P_{k}": F.sum(F.when(F.col("rank") <= k, F.col("hit"))) / k for k in P_CUTS}
     gain = F.greatest(F.col("rel"), F.lit(0)) / F.log2(F.col("rank") + 1)
     if ndcg:
@@ -66,7 +71,8 @@ def measures(per: DataFrame, query_eval: bool = False) -> DataFrame:
     if query_eval:
         rows = per.select("qid", *(F.col(c).cast("double").alias(c) for c in counts + means))
         out = out.unionByName(rows.unpivot("qid", counts + means, "measure", "value"))
-    return out.select("qid", "measure", "value")
+    named = F.regexp_replace("measure", "^(iprec_at_recall_[01])_", "$1.")
+    return out.select("qid", named.alias("measure"), "value")
 
 
 def evaluate(run: DataFrame, qrels: DataFrame, complete: bool = False, ndcg: bool = False, query_eval: bool = False) -> DataFrame:

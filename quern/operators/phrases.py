@@ -9,9 +9,15 @@ from ..functions.text import regex_tokens
 
 
 def ngram_array(tokens: Column, n: int) -> Column:
-    """All runs of ``n`` neighbouring tokens, joined by a space. No self-join, no shuffle."""
-    starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - n + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, n), " "))
+    """All runs of ``n`` neighbouring tokens, joined by a space. No self-join, no shuffle.
+
+    n shifted slices are zipped, so the tokens are worked out a fixed number of times a row, not once a run.
+    """
+    runs = F.greatest(F.size(tokens) - n + 1, F.lit(0))
+    out = F.slice(tokens, F.lit(1), runs)
+    for j in range(2, n + 1):
+        out = F.zip_with(out, F.slice(tokens, F.lit(j), runs), lambda x, y: F.concat(x, F.lit(" "), y))
+    return out
 
 
 def frequencies(df: DataFrame, doc: str, items: Column, names: list[str]) -> DataFrame:
