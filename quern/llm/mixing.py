@@ -59,8 +59,8 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, size: f
     Rows that repeat an id draw alike. Sources without weight give no rows; an empty table gives none.
     Input columns named like the three new ones are replaced.
     """
-    cols = [c for c in (keep or tuple(docs.columns)) if c not in ("copy", "copies", "shuffle_key")]
-    r = rates(docs, weights, size, source_col).select(F.col("source").alias("__source"), "draws", "cdf")
+    cols = [f"`{c}`" for c in (keep or tuple(docs.columns)) if c.lower() not in ("copy", "copies", "shuffle_key")]
+    r = rates(docs, weights, size, source_col).select(F.col("source").alias("__source"), F.col("draws").alias("__draws"), F.col("cdf").alias("__cdf"))
     n_sources = docs.select(source_col).distinct().count()
     side = F.broadcast(r) if n_sources <= BROADCAST_SOURCES else r
     ident = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
@@ -68,9 +68,9 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, size: f
 
     def one(i):
         u = uniform(F.lit(str(seed)), i.cast("string"), F.col("__id"))
-        return F.size(F.filter("cdf", lambda c: c <= u))
+        return F.size(F.filter("__cdf", lambda c: c <= u))
 
-    copies = F.aggregate(F.transform(F.sequence(F.lit(1), F.col("draws")), one), F.lit(0), lambda a, b: a + b)
+    copies = F.aggregate(F.transform(F.sequence(F.lit(1), F.col("__draws")), one), F.lit(0), lambda a, b: a + b)
     x = x.select(*cols, "__id", copies.alias("copies")).where("copies > 0")
     x = x.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     key = F.md5(F.concat_ws("|", F.lit(f"{seed}/shuffle"), F.col("copy").cast("string"), F.col("__id")))
