@@ -108,7 +108,7 @@ def parser() -> argparse.ArgumentParser:
 
     def command(name: str, run, *positional: str) -> argparse.ArgumentParser:
         c = sub.add_parser(name)
-        c.set_defaults(run=run)
+        c.set_defaults(execute=run)
         for x in positional:
             c.add_argument(x)
         return c
@@ -174,7 +174,7 @@ def parser() -> argparse.ArgumentParser:
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> None:
     a = parser().parse_args(argv)
-    a.run(spark or SparkSession.builder.appName("quern").getOrCreate(), a)
+    a.execute(spark or SparkSession.builder.appName("quern").getOrCreate(), a)
 
 
 if __name__ == "__main__":

@@ -77,6 +77,12 @@ def sign_tests(table: DataFrame, metric: str, lower_is_better: bool = False, bas
     return out.withColumn("p_value", sign_test_p(F.col("better"), F.col("worse")))
 
 
+def _substrings(col: str, n: int):
+    """The distinct substrings of n letters; of a shorter text the text itself."""
+    starts = F.sequence(F.lit(1), F.greatest(F.length(col) - n + 1, F.lit(1)))
+    return F.array_distinct(F.transform(starts, lambda i: F.substring(F.col(col), i, F.lit(n))))
+
+
 def containments(texts: DataFrame, needles: DataFrame) -> DataFrame:
     """texts(id, text) with each needles(needle_id, needle) they contain: (id, needle_id). Empty needles and nulls match nothing.
 
@@ -85,14 +91,12 @@ def containments(texts: DataFrame, needles: DataFrame) -> DataFrame:
     wanted = needles.where(F.length("needle") > 0)
     if wanted.limit(FEW_NEEDLES + 1).count() <= FEW_NEEDLES:
         return texts.join(F.broadcast(wanted), F.contains("text", "needle")).select("id", "needle_id")
-    short = wanted.where(F.length("needle") < KEY)
-    pieces = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - KEY + 1, F.lit(1))), lambda i: F.substring(F.col("text"), i, F.lit(KEY))))
-    keyed = texts.select("id", "text", F.explode(pieces).alias("key"))
-    long = keyed.join(wanted.where(F.length("needle") >= KEY).withColumn("key", F.substring("needle", 1, KEY)), "key").where(F.contains("text", "needle"))
-    grams = [texts.select("id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - n + 1, F.lit(1))), lambda i, n=n: F.substring(F.col("text"), i, F.lit(n))))).alias("needle")) for n in range(1, KEY)]
-    out = long.select("id", "needle_id")
-    for n, g in enumerate(grams, 1):
-        out = out.unionByName(g.join(short.where(F.length("needle") == n), "needle").select("id", "needle_id"))
+    keyed = texts.select("id", "text", F.explode(_substrings("text", KEY)).alias("key"))
+    long = wanted.where(F.length("needle") >= KEY).withColumn("key", F.substring("needle", 1, KEY))
+    out = keyed.join(long, "key").where(F.contains("text", "needle")).select("id", "needle_id")
+    for n in range(1, KEY):
+        grams = texts.select("id", F.explode(_substrings("text", n)).alias("needle"))
+        out = out.unionByName(grams.join(wanted.where(F.length("needle") == n), "needle").select("id", "needle_id"))
     return out
 
 
