@@ -160,7 +160,7 @@ def build_index(
     stop = stop_words(corpus.sparkSession, stopwords)
     docs = number_documents(corpus)
     if mode == "phrases":
-        vocabulary = stage(phrase_vocabulary(docs, "docid", "content", min_freq, min_pmi, stop).select("term").distinct(), "vocabulary")
+        vocabulary = stage(phrase_vocabulary(docs, "content", min_freq, min_pmi, stop).select("term").distinct(), "vocabulary")
         counts = stage(longest_counts(docs, vocabulary), "counts")
     else:
         counts = stage(regex_counts(docs, stop, stemmer if mode == "standard" else "none"), "counts")

@@ -20,49 +20,52 @@ def ngram_array(tokens: Column, n: int) -> Column:
     return out
 
 
-def frequencies(df: DataFrame, doc: str, items: Column, names: list[str]) -> DataFrame:
-    """names, freq, doc_freq of the exploded ``items``; counted per document first, so no distinct is needed."""
-    rows = df.select(F.col(doc).alias("__doc"), F.explode(items).alias("__item"))
-    per_doc = rows.groupBy("__item", "__doc").agg(F.count("*").alias("n"))
-    total = per_doc.groupBy("__item").agg(F.sum("n").alias("freq"), F.count("*").alias("doc_freq"))
+def frequencies(df: DataFrame, items: Column, names: list[str]) -> DataFrame:
+    """names, freq, doc_freq of the entries of ``items``, a document a row.
+
+    Entries and distinct entries are counted by one aggregate, so what is shuffled is as long as a task's vocabulary.
+    """
+    one = F.transform(items, lambda x: F.struct(x.alias("item"), F.lit(1).alias("n"), F.lit(0).alias("d")))
+    own = F.transform(F.array_distinct(items), lambda x: F.struct(x.alias("item"), F.lit(0).alias("n"), F.lit(1).alias("d")))
+    total = df.select(F.inline(F.concat(one, own))).groupBy("item").agg(F.sum("n").alias("freq"), F.sum("d").alias("doc_freq"))
     if len(names) == 1:
-        return total.select(F.col("__item").alias(names[0]), "freq", "doc_freq")
-    return total.select(*(F.col("__item")[x].alias(x) for x in names), "freq", "doc_freq")
+        return total.select(F.col("item").alias(names[0]), "freq", "doc_freq")
+    return total.select(*(F.col("item")[x].alias(x) for x in names), "freq", "doc_freq")
 
 
-def token_frequencies(df: DataFrame, doc: str, text: str) -> DataFrame:
+def token_frequencies(df: DataFrame, text: str) -> DataFrame:
     """token, freq, doc_freq; empty tokens are counted too."""
-    return frequencies(df, doc, regex_tokens(F.col(text)), ["token"])
+    return frequencies(df, regex_tokens(F.col(text)), ["token"])
 
 
-def ngram_frequencies(df: DataFrame, doc: str, text: str, n: int = 2, min_freq: int = 2) -> DataFrame:
+def ngram_frequencies(df: DataFrame, text: str, n: int = 2, min_freq: int = 2) -> DataFrame:
     """ngram, freq, doc_freq of all word n-grams occurring at least ``min_freq`` times."""
-    return frequencies(df, doc, ngram_array(regex_tokens(F.col(text)), n), ["ngram"]).where(F.col("freq") >= min_freq)
+    return frequencies(df, ngram_array(regex_tokens(F.col(text)), n), ["ngram"]).where(F.col("freq") >= min_freq)
 
 
-def bigram_frequencies(df: DataFrame, doc: str, text: str, min_freq: int = 2) -> DataFrame:
+def bigram_frequencies(df: DataFrame, text: str, min_freq: int = 2) -> DataFrame:
     """w1, w2, freq, doc_freq of neighbouring tokens, empty ones included."""
     t = regex_tokens(F.col(text))
     last = F.greatest(F.size(t) - 1, F.lit(0))
     pairs = F.zip_with(F.slice(t, F.lit(1), last), F.slice(t, F.lit(2), last), lambda a, b: F.struct(a.alias("w1"), b.alias("w2")))
-    return frequencies(df, doc, pairs, ["w1", "w2"]).where(F.col("freq") >= min_freq)
+    return frequencies(df, pairs, ["w1", "w2"]).where(F.col("freq") >= min_freq)
 
 
-def pmi_phrases(df: DataFrame, doc: str, text: str, min_freq: int = 2, min_pmi: float = 3.0) -> DataFrame:
+def pmi_phrases(df: DataFrame, text: str, min_freq: int = 2, min_pmi: float = 3.0) -> DataFrame:
     """phrase, pmi, df of the word pairs with freq >= min_freq and PMI >= min_pmi (base 2)."""
-    single = token_frequencies(df, doc, text).select("token", "freq")
+    single = token_frequencies(df, text).select("token", "freq")
     total = df.select(F.sum(F.size(regex_tokens(F.col(text)))).cast("double")).first()[0] or 0.0
-    pairs = bigram_frequencies(df, doc, text, min_freq)
+    pairs = bigram_frequencies(df, text, min_freq)
     pairs = pairs.join(single.select(F.col("token").alias("w1"), F.col("freq").alias("f1")), "w1")
     pairs = pairs.join(single.select(F.col("token").alias("w2"), F.col("freq").alias("f2")), "w2")
     pmi = F.log10(F.col("freq") * F.lit(total) / (F.col("f1").cast("double") * F.col("f2"))) / F.log10(F.lit(2.0))
     return pairs.select(F.concat_ws(" ", "w1", "w2").alias("phrase"), pmi.alias("pmi"), F.col("doc_freq").alias("df")).where(F.col("pmi") >= min_pmi)
 
 
-def phrase_vocabulary(df: DataFrame, doc: str, text: str, min_freq: int = 10, min_pmi: float = 5.0, stopwords: list[str] | None = None) -> DataFrame:
+def phrase_vocabulary(df: DataFrame, text: str, min_freq: int = 10, min_pmi: float = 5.0, stopwords: list[str] | None = None) -> DataFrame:
     """term, df: phrases without a stop word, then non-empty words that are no stop words and occur min_freq times."""
-    phrases = pmi_phrases(df, doc, text, min_freq, min_pmi)
-    words = token_frequencies(df, doc, text).where((F.col("freq") >= min_freq) & (F.col("token") != ""))
+    phrases = pmi_phrases(df, text, min_freq, min_pmi)
+    words = token_frequencies(df, text).where((F.col("freq") >= min_freq) & (F.col("token") != ""))
     if stopwords:
         phrases = phrases.where(~F.exists(F.split("phrase", " "), lambda w: w.isin(*stopwords)))
         words = words.where(~F.col("token").isin(*stopwords))

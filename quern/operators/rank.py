@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 from ..functions import stemmers, text
 from ..functions.text import ln
 from ..index import Index
+from ..storage import stage
 
+#: Terms of a query set up to this number (some 10 MB) are sent to the postings; more are joined by a shuffle.
+BROADCAST_TERMS = 200_000
 K1, B, LAMBDA = 1.2, 0.75, 0.3
 
 
@@ -103,40 +106,51 @@ def query_terms(index: Index, queries: DataFrame) -> DataFrame:
     return query_tokens(index, queries).join(index.dict, "term").select("qid", "term", "qtf", "termid", "df")
 
 
-def matches(index: Index, queries: DataFrame, fields: list[str] | None = None) -> DataFrame:
-    """(qid, termid, docid, df, qtf, tf): the postings of every query term, optionally of some fields only."""
-    terms = query_terms(index, queries)
-    postings = index.postings
-    if fields is not None:
-        postings = postings.join(index.fields.where(F.col("field").isin(*fields)), "fieldid", "left_semi")
-    rows = terms.join(postings, "termid")
+def asked_terms(index: Index, queries: DataFrame) -> DataFrame:
+    """``query_terms`` worked out once, and marked for broadcast if they are few: postings stay where they are."""
+    terms = stage(query_terms(index, queries), "query-terms")
+    return F.broadcast(terms) if terms.count() <= BROADCAST_TERMS else terms
+
+
+def _postings(index: Index, fields: list[str] | None) -> DataFrame:
+    if fields is None:
+        return index.postings
+    return index.postings.join(index.fields.where(F.col("field").isin(*fields)), "fieldid", "left_semi")
+
+
+def matches(index: Index, terms: DataFrame, fields: list[str] | None = None) -> DataFrame:
+    """(qid, term, termid, docid, df, qtf, tf): the postings of every asked term, optionally of some fields only."""
+    rows = _postings(index, fields).join(terms, "termid")
     if index.has_many_fields:
         rows = rows.groupBy("qid", "term", "termid", "docid").agg(F.max("df").alias("df"), F.max("qtf").alias("qtf"), F.sum("tf").alias("tf"))
     return rows.select("qid", "term", "termid", "docid", "df", "qtf", "tf")
 
 
-def postings_cost(index: Index, queries: DataFrame, fields: list[str] | None = None) -> DataFrame:
-    """(qid, postings_cost): term-document entries read for each query, a term class read once."""
-    terms = query_terms(index, queries).select("qid", "termid").distinct()
-    postings = index.postings
-    if fields is not None:
-        postings = postings.join(index.fields.where(F.col("field").isin(*fields)), "fieldid", "left_semi")
-    rows = terms.join(postings, "termid").select("qid", "termid", "docid")
+def postings_cost(index: Index, queries: DataFrame, fields: list[str] | None = None, terms: DataFrame | None = None) -> DataFrame:
+    """(qid, postings_cost): term-document entries read for each query, a term class read once.
+
+    Entries are counted by term first, so the queries meet one number a term.
+    """
+    terms = asked_terms(index, queries) if terms is None else terms
+    rows = _postings(index, fields).join(terms.select("termid").distinct(), "termid", "left_semi").select("termid", "docid")
     if index.has_many_fields:
         rows = rows.distinct()
-    return rows.groupBy("qid").agg(F.count("*").alias("postings_cost"))
+    each = rows.groupBy("termid").agg(F.count("*").alias("n"))
+    return terms.select("qid", "termid").distinct().join(each, "termid").groupBy("qid").agg(F.sum("n").alias("postings_cost"))
 
 
 def score(
-    index: Index, queries: DataFrame, model: str = "lm", fields: list[str] | None = None, conjunctive: bool = False, k: float = K1, b: float = B, lambda_: float = LAMBDA
-) -> DataFrame:
+    index: Index, queries: DataFrame, model: str = "lm", fields: list[str] | None = None, conjunctive: bool = False, k: float = K1, b: float = B, lambda_: float = LAMBDA,
+    terms: DataFrame | None = None,
+) -> DataFrame:
     """(qid, docid, name, score) of all documents with a matching term; queries without one give no rows.
 
     ``conjunctive`` keeps documents that have every token of the query, unknown and empty tokens included.
     The join on docid and the sum per query and document share one exchange.
     """
     m, p = MODELS[model], {"k": k, "b": b, "lambda_": lambda_}
-    rows = matches(index, queries, fields).join(index.docs, "docid")
+    terms = asked_terms(index, queries) if terms is None else terms
+    rows = matches(index, terms, fields).join(index.docs, "docid")
     part = m.part(index, p)
     whole = m.whole(index, p)
     rows = rows.withColumn("part", F.col("qtf") * part if m.repeats else part)
@@ -166,6 +180,7 @@ def search(index: Index, queries: DataFrame, model: str = "lm", limit: int = 100
     for bound, keep in ((first, lambda q: q >= first), (last, lambda q: q <= last)):
         if bound is not None:
             queries = queries.where(keep(F.col("qid").cast("long")))
-    best = top_k(score(index, queries, model, fields, **params), limit)
-    cost = postings_cost(index, queries, fields)
+    terms = asked_terms(index, queries)
+    best = top_k(score(index, queries, model, fields, terms=terms, **params), limit)
+    cost = postings_cost(index, queries, fields, terms)
     return best.join(cost, "qid").select("qid", F.col("name").alias("docno"), "rank", "score", "postings_cost")

@@ -119,7 +119,7 @@ def measured(spark: SparkSession, d: str, columns: list[str], ndcg: bool = False
 
 def few_terms(spark: SparkSession, d: str) -> DataFrame:
     """A vocabulary for longest matches: the words that occur often enough."""
-    found = phrases.token_frequencies(documents(spark, d), "docid", "content")
+    found = phrases.token_frequencies(corpus(spark, d), "content")
     return found.where((F.col("freq") >= VOCABULARY_FREQ) & (F.col("token") != "")).select(F.col("token").alias("term"))
 
 
@@ -133,7 +133,7 @@ def index_dict_limit(spark, d):
 
 
 def pmi(spark, d):
-    return phrases.pmi_phrases(documents(spark, d), "docid", "content", 10, 3.0).withColumn("pmi", F.round("pmi", 6))
+    return phrases.pmi_phrases(corpus(spark, d), "content", 10, 3.0).withColumn("pmi", F.round("pmi", 6))
 
 
 def longest_match_query(spark, d):
@@ -208,7 +208,7 @@ def eval_complete(spark, d):
 
 
 def queries_with_2_ngrams(spark, d):
-    grams = phrases.ngram_frequencies(documents(spark, d), "docid", "content", 2, 40).where(~F.col("ngram").like(" %") & ~F.col("ngram").like("% ")).select(F.col("ngram").alias("term"))
+    grams = phrases.ngram_frequencies(corpus(spark, d), "content", 2, 40).where(~F.col("ngram").like(" %") & ~F.col("ngram").like("% ")).select(F.col("ngram").alias("term"))
     return experiments.queries_with_ngrams(passages(spark, d), grams, 2).select("qid", "n_ngrams")
 
 
@@ -228,7 +228,7 @@ def search_phrases_lm(spark, d):
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "tok_regex_counts": tok_regex_counts,
-    "token_freq": lambda s, d: phrases.token_frequencies(documents(s, d), "docid", "content"),
+    "token_freq": lambda s, d: phrases.token_frequencies(corpus(s, d), "content"),
     "index_docs_len": lambda s, d: words_index(s, d).docs.select("docid", "name", "len"),
     "index_dict_df": lambda s, d: words_index(s, d).dict.select("termid", "term", "df"),
     "index_dict_stopwords": lambda s, d: stop_index(s, d).dict.select("termid", "term", "df"),
@@ -237,10 +237,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "index_stats": lambda s, d: words_index(s, d).stats.select("num_docs", F.round("avgdl", 6).alias("avgdl"), "sumdf", "index_type", "stemmer"),
     "index_report": lambda s, d: words_index(s, d).report().withColumn("avgdl", F.round("avgdl", 6)),
     "terms_positions": lambda s, d: term_positions(documents(s, d), words_index(s, d).dict),
-    "ngram_generic_freq": lambda s, d: phrases.ngram_frequencies(documents(s, d), "docid", "content", 3, 5),
-    "bigram_freq": lambda s, d: phrases.bigram_frequencies(documents(s, d), "docid", "content", 10),
+    "ngram_generic_freq": lambda s, d: phrases.ngram_frequencies(corpus(s, d), "content", 3, 5),
+    "bigram_freq": lambda s, d: phrases.bigram_frequencies(corpus(s, d), "content", 10),
     "pmi_phrases": pmi,
-    "phrase_vocab": lambda s, d: phrases.phrase_vocabulary(documents(s, d), "docid", "content", 10, 5.0, list(STOP)),
+    "phrase_vocab": lambda s, d: phrases.phrase_vocabulary(corpus(s, d), "content", 10, 5.0, list(STOP)),
     "longest_match_query": longest_match_query,
     "longest_match_docs": longest_match_docs,
     "phrase_index_report": phrase_index_report,

@@ -141,7 +141,7 @@ def test_grouped_terms_share_ids(spark):
 def test_phrase_index_and_pmi(spark):
     rows = [(f"d{i}", "new york is big, new york is loud" if i % 2 else "york new market") for i in range(20)]
     df = spark.createDataFrame(rows, "did string, content string")
-    got = {r.phrase: r for r in phrases.pmi_phrases(df, "did", "content", 10, 0.0).collect()}
+    got = {r.phrase: r for r in phrases.pmi_phrases(df, "content", 10, 0.0).collect()}
     total = sum(len(t.replace(",", " ").split()) for _, t in rows)
     assert abs(got["new york"].pmi - math.log2(20 * total / (30 * 30))) < 1e-9 and got["new york"].df == 10
     index = build_index(df, "phrases", min_freq=5, min_pmi=0.0)
