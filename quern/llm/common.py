@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections import Counter
+from itertools import chain
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 SPACE = r"[ \t-\r]"  # the six separators of the contracts: \x20 and \x09-\x0D
@@ -41,6 +44,31 @@ def drop_dir(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def least_hashed(rows: DataFrame, cls: str, limits: dict, counts: dict) -> list[tuple]:
+    """(id, class): of each class of ``rows(id, cls)`` the limits[class] rows with the least hashes of their id.
+
+    ``counts`` has the rows of each class. A hash bound that twice the limit should stay under comes before the window,
+    so the window gets about that many rows a class from all tasks together; a class that it leaves
+    short, as when few ids repeat a lot, is picked again from all its rows.
+    """
+    by = lambda of: F.create_map(*chain.from_iterable((F.lit(c), F.lit(v)) for c, v in of.items()))[F.col(cls)]
+    h = F.xxhash64("id")
+
+    def pick(bounds: dict) -> list[tuple]:
+        if not bounds:
+            return []
+        under = rows.where(h <= by(bounds)).select("id", cls)
+        ranked = under.withColumn("k", F.row_number().over(W.partitionBy(cls).orderBy(h, "id"))).where(F.col("k") <= max(limits.values()))
+        return [(r["id"], r[cls]) for r in ranked.where(F.col("k") <= by(limits)).collect()]
+
+    top = (1 << 63) - 1
+    share = {c: (2 * limits[c] + 100) / max(1, n) for c, n in counts.items()}
+    got = pick({c: top if f >= 1 else int(f * (1 << 64)) - (1 << 63) for c, f in share.items()})
+    have = Counter(c for _, c in got)
+    short = {c for c, n in counts.items() if have[c] < min(n, limits[c])}
+    return [g for g in got if g[1] not in short] + pick(dict.fromkeys(short, top))
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for the nodes of ``edges(a, b)``; component is the least node.
 

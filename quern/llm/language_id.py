@@ -15,9 +15,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import least_hashed
 from .words import id_text, public_id, slices
 
 #: The classifier is fitted on at most so many labelled rows a language, those with the least hashes of their ids.
@@ -241,12 +241,11 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """Fit on labelled rows with crc32(id as text) mod 3 other than 1; the texts of a bounded sample come to the driver."""
     x = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"), F.col(lang_col).alias("lang"))
     x = x.where((F.crc32(F.col("id").cast("string")) % 3 != 1) & F.col("lang").isNotNull() & F.col("t").isNotNull())
-    most = [r.lang for r in x.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()]
-    if not most:
+    counts = {r.lang: r["count"] for r in x.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()}
+    if not counts:
         return fit([])
-    # ids first: the window keeps DOCS_PER_LANG rows a language in every task before anything is shuffled
-    w = W.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    ids = x.where(F.col("lang").isin(most)).select("id", "lang").withColumn("k", F.row_number().over(w)).where(F.col("k") <= DOCS_PER_LANG).select("id").distinct()
+    chosen = sorted({i for i, _ in least_hashed(x, "lang", dict.fromkeys(counts, DOCS_PER_LANG), counts)})
+    ids = docs.sparkSession.createDataFrame([(i,) for i in chosen], "id long")  # at most MOST_LANGS * DOCS_PER_LANG
     rows = x.join(F.broadcast(ids), "id").select("id", "lang", "t").limit(2 * DOCS_PER_LANG * MOST_LANGS).collect()
     return fit([(r.lang, r.t) for r in sorted(rows, key=lambda r: (r.id, r.lang, r.t))])
 

@@ -103,3 +103,17 @@ def test_components(spark):
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == want
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_least_hashed(spark):
+    from pyspark.sql import functions as F
+
+    from quern.llm.common import least_hashed
+
+    rows = [(i, "a") for i in range(5000)] + [(i, "b") for i in range(7)] + [(i % 3, "c") for i in range(4000)]
+    df = spark.createDataFrame(rows, "id long, y string")
+    got = least_hashed(df, "y", {"a": 20, "b": 20, "c": 10}, {"a": 5000, "b": 7, "c": 4000})
+    h = sorted((r.h, r.id) for r in spark.range(5000).select(F.xxhash64("id").alias("h"), "id").collect())
+    assert sorted(i for i, y in got if y == "a") == sorted(i for _, i in h[:20])
+    assert sum(y == "b" for _, y in got) == 7 and sum(y == "c" for _, y in got) == 10
+    assert least_hashed(df.where("false"), "y", {}, {}) == []
