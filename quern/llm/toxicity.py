@@ -16,9 +16,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import least_hashed
 from .words import id_text, public_id, slices
 
 #: The classifier is fitted on at most so many labelled rows of each class, those with the least hashes of their ids.
@@ -191,9 +191,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     x = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     labelled = y.join(x.select("id").distinct(), "id", "left_semi")
     total = {r.y: r["count"] for r in labelled.groupBy("y").count().collect()}
-    w = W.partitionBy("y").orderBy(F.xxhash64("id"), "id")
-    k = F.when(F.col("y") == 1, ROWS_PER_CLASS[1]).otherwise(ROWS_PER_CLASS[0])
-    chosen = labelled.withColumn("k", F.row_number().over(w)).where(F.col("k") <= max(ROWS_PER_CLASS.values())).where(F.col("k") <= k).select("id", "y")
+    chosen = spark.createDataFrame(least_hashed(labelled, "y", ROWS_PER_CLASS, total), "id long, y int")
     rows = x.join(F.broadcast(chosen), "id").dropDuplicates(["id"]).collect()  # at most sum(ROWS_PER_CLASS) texts
     samples = [(r.id, r.y, terms_of(r.t)) for r in sorted(rows, key=lambda r: r.id)]
     vocabulary = select(samples)
