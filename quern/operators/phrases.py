@@ -23,11 +23,11 @@ def ngram_array(tokens: Column, n: int) -> Column:
 def frequencies(df: DataFrame, items: Column, names: list[str]) -> DataFrame:
     """names, freq, doc_freq of the entries of ``items``, a document a row.
 
-    Entries and distinct entries are counted by one aggregate, so what is shuffled is as long as a task's vocabulary.
+    Entries and distinct entries are counted apart, each pre-aggregated, and meet by entry.
     """
-    one = F.transform(items, lambda x: F.struct(x.alias("item"), F.lit(1).alias("n"), F.lit(0).alias("d")))
-    own = F.transform(F.array_distinct(items), lambda x: F.struct(x.alias("item"), F.lit(0).alias("n"), F.lit(1).alias("d")))
-    total = df.select(F.inline(F.concat(one, own))).groupBy("item").agg(F.sum("n").alias("freq"), F.sum("d").alias("doc_freq"))
+    freq = df.select(F.explode(items).alias("item")).groupBy("item").agg(F.count("*").alias("freq"))
+    own = df.select(F.explode(F.array_distinct(items)).alias("item")).groupBy("item").agg(F.count("*").alias("doc_freq"))
+    total = freq.join(own, "item")
     if len(names) == 1:
         return total.select(F.col("item").alias(names[0]), "freq", "doc_freq")
     return total.select(*(F.col("item")[x].alias(x) for x in names), "freq", "doc_freq")
