@@ -1,10 +1,11 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-Terms are words and the five-letter stems of longer words, restricted to those that go with the label in the
-labelled sample (chi-square). Inverse document frequencies count all documents. The examples lie in an inverted
-index in blocks; per term and block the largest weight is known. A query scores the blocks with the largest bounds,
-and only those others whose bound exceeds the k-th best cosine so far, so the neighbours are exact. Votes are weighted by
-nearness and class frequency, then calibrated on the examples' own left-one-out votes.
+Terms are all words of the labelled sample and the five-letter stems of longer words. A term's weight is its inverse
+document frequency, which counts all documents, times its association with the label in the sample (chi-square), which is
+never 0; words that no example has add nothing to a cosine and are left out of a text's length. The examples lie in an
+inverted index in blocks; per term and block the largest weight is known. A query scores the blocks with the largest
+bounds, and only those others whose bound exceeds the k-th best cosine so far, so the neighbours are exact. Votes are
+weighted by nearness and class frequency, then calibrated on the examples' own left-one-out votes.
 """
 
 from __future__ import annotations
@@ -15,80 +16,86 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import least_hashed
-from .words import id_text, public_id, slices
+from .words import CACHE_WORDS, id_text, public_id, slices
 
 #: The classifier is fitted on at most so many labelled rows of each class, those with the least hashes of their ids.
 ROWS_PER_CLASS = {1: 2000, 0: 4000}
-TERMS, LEAST_CHI2 = 3000, 20.0
+#: A term weighs LEAST_WEIGHT, and one more as its chi-square grows; half of that at HALF_CHI2.
+LEAST_WEIGHT, HALF_CHI2 = 0.1, 20.0
 BLOCK, NEIGHBOURS = 64, 15
+#: Blocks scored before the bounds of the others are looked at.
+FIRST = 3
+DENSE = 8
 STEM = 5
 WORD = re.compile(r"[^\W\d_]+")
 CACHE_QUERIES = 50_000
 
 
-def terms_of(text: str) -> Counter:
-    """Occurrences of words and stems (stems end in '*')."""
-    words = Counter(WORD.findall(text.lower()))
-    out = Counter(words)
-    for w, n in words.items():
-        if len(w) > STEM:
-            out[w[:STEM] + "*"] += n
-    return out
-
-
-def select(samples: list[tuple[int, int, Counter]]) -> dict[str, int]:
-    """The terms that go with the label, numbered."""
-    pos = sum(y for _, y, _ in samples)
-    neg = len(samples) - pos
-    a, b = Counter(), Counter()
-    for _, y, t in samples:
-        (a if y else b).update(t.keys())
-    found = []
-    for t in a.keys() | b.keys():
-        p, q = a[t], b[t]
-        if p + q < 5 or not pos or not neg:
-            continue
-        n, d = pos + neg, p * (neg - q) - q * (pos - p)
-        chi2 = n * d * d / max(1e-9, (p + q) * (n - p - q) * pos * neg)
-        if chi2 >= LEAST_CHI2:
-            found.append((-chi2, t))
-    return {t: i for i, (_, t) in enumerate(sorted(found)[:TERMS])}
-
-
-def vector(text: str, vocabulary: dict[str, int]) -> dict[int, int]:
-    """Term frequencies of the selected terms."""
-    out: dict[int, int] = {}
-    get = vocabulary.get
-    for w in WORD.findall(text.lower()):
-        i = get(w)
-        if i is not None:
-            out[i] = out.get(i, 0) + 1
-        if len(w) > STEM:
-            i = get(w[:STEM] + "*")
-            if i is not None:
-                out[i] = out.get(i, 0) + 1
-    return out
+def spans(start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """All integers of the ranges, one range after the other."""
+    size = stop - start
+    return np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
+
+
+class Terms(dict):
+    """Numbers of the terms of a word, remembered: one more than the word's, and above 32 bits one more than its stem's; 0 for none.
+
+    Stems end in '*'. New terms are numbered while ``learning``.
+    """
+
+    def __init__(self, vocabulary: dict[str, int], learning: bool = False) -> None:
+        self.vocabulary, self.learning = vocabulary, learning
+
+    def number(self, term: str) -> int:
+        return 1 + (self.vocabulary.setdefault(term, len(self.vocabulary)) if self.learning else self.vocabulary.get(term, -1))
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = self.number(word) | (self.number(word[:STEM] + "*") << 32 if len(word) > STEM else 0)
+        return n
+
+    def of(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """(terms, their frequencies) of a text."""
+        if len(self) > CACHE_WORDS:
+            self.clear()
+        words = WORD.findall(text.lower())
+        x = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        x = np.concatenate([x & 0xFFFFFFFF, x >> 32])
+        return np.unique(x[x > 0] - 1, return_counts=True)
+
+
+def association(p: np.ndarray, q: np.ndarray, pos: int, neg: int) -> np.ndarray:
+    """Weights above 0 of terms in ``p`` of the toxic and ``q`` of the other examples, by their chi-square."""
+    if not pos or not neg:
+        return np.ones(len(p))
+    n = pos + neg
+    chi2 = n * (p * (neg - q) - q * (pos - p)) ** 2 / np.maximum(1e-9, (p + q) * (n - p - q) * pos * neg)
+    return LEAST_WEIGHT + chi2 / (chi2 + HALF_CHI2)
+
+
+def unit(t: np.ndarray, n: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(terms, weights) at length one of terms in order and their frequencies."""
+    w = (1 + np.log(n)) * idf[t]
+    size = np.sqrt(w @ w)
+    return (t, w / size) if size > 0 else (t[:0], w[:0])
 
 
 def weighted(tf: dict[int, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(terms, weights) at length one."""
+    """``unit`` of a dictionary."""
     t = np.array(sorted(tf), np.int64)
-    w = np.array([1 + np.log(tf[i]) for i in t]) * idf[t]
-    n = np.sqrt(w @ w)
-    return (t, w / n) if n > 0 else (t[:0], w[:0])
+    return unit(t, np.array([tf[i] for i in t.tolist()], np.float64), idf)
 
 
 class Index:
-    """Block-max inverted index over labelled examples."""
+    """Block-max inverted index over labelled examples; ``idf`` weighs the terms."""
 
-    def __init__(self, examples: list[tuple[int, int, dict[int, int]]], idf: np.ndarray, class_weight: dict[int, float]) -> None:
-        rows = [(doc, y, *weighted(tf, idf)) for doc, y, tf in examples]
-        rows = [r for r in rows if len(r[2])]
-        rows.sort(key=lambda r: (int(r[2][r[3].argmax()]), -r[3].max(), r[0]))  # like next to like: tight bounds
+    def __init__(self, examples: list[tuple[int, int, dict[int, int] | tuple[np.ndarray, np.ndarray]]], idf: np.ndarray, class_weight: dict[int, float]) -> None:
+        rows = [(doc, y, *(weighted(tf, idf) if isinstance(tf, dict) else unit(*tf, idf))) for doc, y, tf in examples]
+        rows.sort(key=lambda r: (int(r[2][r[3].argmax()]), -r[3].max(), r[0]) if len(r[2]) else (len(idf), 0.0, r[0]))  # like next to like: tight bounds
         self.docs = [r[0] for r in rows]
         self.y = np.array([r[1] for r in rows], np.float64)
         self.mass = np.array([class_weight[r[1]] for r in rows])
@@ -98,45 +105,54 @@ class Index:
         term = np.concatenate([r[2] for r in rows]) if rows else np.zeros(0, np.int64)
         doc = np.repeat(np.arange(n), [len(r[2]) for r in rows]) if rows else term
         weight = np.concatenate([r[3] for r in rows]) if rows else np.zeros(0)
-        order = np.lexsort((doc, term))
-        self.doc, self.weight = doc[order], weight[order]
-        self.start = np.searchsorted(term[order], np.arange(v + 1))
-        self.best = np.zeros((v, max(1, self.blocks)))
-        np.maximum.at(self.best, (term, doc // BLOCK), weight)
-        self.lo, self.hi = {}, {}
-
-    def score_blocks(self, t: np.ndarray, w: np.ndarray, blocks: np.ndarray, out: np.ndarray) -> None:
-        """Exact cosines of the examples in ``blocks``, added to ``out``."""
-        for i, x in zip(t.tolist(), w.tolist(), strict=True):
-            a, b = self.start[i], self.start[i + 1]
-            d = self.doc[a:b]
-            if len(blocks) == self.blocks:
-                out[d] += x * self.weight[a:b]
-                continue
-            for k in blocks.tolist():
-                lo, hi = np.searchsorted(d, (k * BLOCK, (k + 1) * BLOCK))
-                if hi > lo:
-                    out[d[lo:hi]] += x * self.weight[a + lo : a + hi]
+        order = np.argsort(term, kind="stable")  # by term, then example
+        term, doc, self.weight = term[order], doc[order], weight[order]
+        # a list has a part for every block that holds its term
+        cell = term * max(1, self.blocks) + doc // BLOCK
+        first = np.flatnonzero(np.diff(cell, prepend=-1))
+        self.doc, self.part, self.block = doc, np.append(first, len(cell)), doc[first] // BLOCK
+        self.best = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
+        self.start = np.searchsorted(term[first], np.arange(v + 1))
+        # weights of terms in many examples are also kept in full: at most DENSE times their postings
+        often = np.flatnonzero(self.part[self.start[1:]] - self.part[self.start[:-1]] > n / DENSE)
+        self.row = np.full(v, -1)
+        self.row[often] = np.arange(len(often))
+        self.full = np.zeros((len(often), n))
+        at = self.row[term]
+        self.full[at[at >= 0], doc[at >= 0]] = self.weight[at >= 0]
+
+    def add(self, cos: np.ndarray, part: np.ndarray, x: np.ndarray) -> None:
+        """Adds what the given parts of lists make, of terms with weights ``x`` in the query."""
+        a, b = self.part[part], self.part[part + 1]
+        at = spans(a, b)
+        cos += np.bincount(self.doc[at], np.repeat(x, b - a) * self.weight[at], len(cos))
 
     def nearest(self, t: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """(examples, cosines) of the k nearest with a cosine above 0; ties go to the earlier example."""
         if not len(t) or not self.docs:
             return np.zeros(0, np.int64), np.zeros(0)
-        bound = w @ self.best[t]
+        a, b = self.start[t], self.start[t + 1]
+        part, x = spans(a, b), np.repeat(w, b - a)
+        block = self.block[part]
+        bound = np.bincount(block, x * self.best[part], self.blocks)
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
-        cos = np.zeros(len(self.docs))
-        first = order[:3]
-        self.score_blocks(t, w, first, cos)
+        chosen = np.zeros(self.blocks, bool)
+        chosen[order[:FIRST]] = True
+        row = self.row[t]
+        rare = np.repeat(row < 0, b - a)
+        cos = w[row >= 0] @ self.full[row[row >= 0]]  # of all blocks; of those not chosen it stays below the bound
+        use = chosen[block] & rare
+        self.add(cos, part[use], x[use])
         if skip >= 0:
             cos[skip] = 0
         floor = np.partition(cos, -k - 1)[-k] if len(cos) > k else 0.0
-        rest = order[3:][bound[order[3:]] >= floor - 1e-12]
-        if len(rest) > 12:  # most blocks may hold a neighbour: read the lists whole
-            cos[:] = 0
-            self.score_blocks(t, w, np.arange(self.blocks), cos)
-        elif len(rest):
-            self.score_blocks(t, w, rest, cos)
+        rest = order[FIRST:][bound[order[FIRST:]] >= floor - 1e-12]
+        if len(rest):
+            chosen[:] = False
+            chosen[rest] = True
+            use = chosen[block] & rare
+            self.add(cos, part[use], x[use])
         if skip >= 0:
             cos[skip] = 0
         cos = np.round(np.minimum(cos, 1.0), 12)
@@ -168,17 +184,17 @@ def calibrate(votes: np.ndarray, y: np.ndarray, mass: np.ndarray) -> tuple[float
 
 
 def counted(shared):
-    """Document frequencies of the selected terms, one row per term and batch; term -1 counts the documents."""
+    """Document frequencies of the vocabulary, one row per term and batch; term -1 counts the documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = shared.value
+        terms = Terms(shared.value)
         for batch in batches:
-            df: Counter = Counter()
+            df = np.zeros(len(terms.vocabulary), np.int64)
             for part in slices(batch):
                 for t in part.column("text").to_pylist():
-                    df.update(vector(t.decode("utf-8", "replace"), vocabulary).keys())
-            df[-1] = batch.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array(df.keys(), pa.int64()), pa.array(df.values(), pa.int64())], names=["term", "n"])
+                    df[terms.of(t.decode("utf-8", "replace"))[0]] += 1
+            found = np.flatnonzero(df)
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(-1, found)), pa.array(np.append(batch.num_rows, df[found]))], names=["term", "n"])
 
     return run
 
@@ -193,34 +209,37 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     total = {r.y: r["count"] for r in labelled.groupBy("y").count().collect()}
     chosen = spark.createDataFrame(least_hashed(labelled, "y", ROWS_PER_CLASS, total), "id long, y int")
     rows = x.join(F.broadcast(chosen), "id").dropDuplicates(["id"]).collect()  # at most sum(ROWS_PER_CLASS) texts
-    samples = [(r.id, r.y, terms_of(r.t)) for r in sorted(rows, key=lambda r: r.id)]
-    vocabulary = select(samples)
+    rows.sort(key=lambda r: r.id)
+    terms = Terms({}, learning=True)
+    samples = [(r.id, r.y, terms.of(r.t)) for r in rows]
+    vocabulary, known = terms.vocabulary, len(terms.vocabulary)
     shared = spark.sparkContext.broadcast(vocabulary)
-    df = {r.term: r.n for r in id_text(docs, id_col, text_col).mapInArrow(counted(shared), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    n = df.get(-1, 0)
-    idf = np.array([np.log((1 + n) / (1 + df.get(i, 0))) + 1 for i in range(len(vocabulary))])
+    counts = id_text(docs, id_col, text_col).mapInArrow(counted(shared), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    df = np.zeros(known + 1, np.int64)  # the last counts the documents
+    df[counts.column("term").to_numpy()] = counts.column("n").to_numpy()
+    with_term = {c: np.zeros(known) for c in (0, 1)}
+    for _, y, (t, _) in samples:
+        with_term[y][t] += 1
     have = Counter(y for _, y, _ in samples)
+    idf = (np.log((1 + df[-1]) / (1 + df[:-1])) + 1) * association(with_term[1], with_term[0], have[1], have[0])
     size = max(1, sum(total.values()))
     prior = min(0.49, max(0.001, total.get(1, 0) / size))
     weight = {c: total.get(c, 0) / size / max(1, have[c]) * max(1, len(samples)) for c in (0, 1)}
-    index = Index([(d, y, {vocabulary[t]: c for t, c in tf.items() if t in vocabulary}) for d, y, tf in samples], idf, weight)
+    index = Index(samples, idf, weight)
     votes = np.array([index.vote(*index.nearest(r[2], r[3], skip=i), prior) for i, r in enumerate(index.rows)])
     curve = calibrate(votes, index.y, index.mass) if len(votes) and 0 < index.y.sum() < len(votes) else (1.0, 0.0)
     index.rows = []
     return {"vocabulary": vocabulary, "index": index, "prior": prior, "curve": curve}
 
 
-def score_of(model: dict, text: str, cache: dict) -> tuple[float, str]:
+def score_of(model: dict, text: str, terms: Terms, cache: dict) -> tuple[float, str]:
     """(score, evidence): evidence names the nearest examples as doc_id:cosine:label."""
-    tf = vector(text, model["vocabulary"])
-    if not tf:
-        return model["prior"], ""
-    key = tuple(sorted(tf.items()))
+    key = xxhash.xxh128_digest(text.encode("utf-8", "replace"))
     if key not in cache:
         if len(cache) > CACHE_QUERIES:
             cache.clear()
         index = model["index"]
-        near, cos = index.nearest(*weighted(tf, index.idf))
+        near, cos = index.nearest(*unit(*terms.of(text), index.idf))
         p = index.vote(near, cos, model["prior"])
         a, b = model["curve"]
         score = float(1 / (1 + np.exp(-np.clip(a * np.log(p / (1 - p)) + b, -30, 30)))) if len(near) else model["prior"]
@@ -230,9 +249,10 @@ def score_of(model: dict, text: str, cache: dict) -> tuple[float, str]:
 
 def scored(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, cache = shared.value, {}
+        model = shared.value
+        terms, cache = Terms(model["vocabulary"]), {}
         for batch in batches:
-            got = [score_of(model, t.as_py().decode("utf-8", "replace"), cache) for t in batch.column("text")]
+            got = [score_of(model, t.as_py().decode("utf-8", "replace"), terms, cache) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array([s for s, _ in got], pa.float64()), pa.array([e for _, e in got], pa.string())], names=["doc", "score", "evidence"])
 
     return run
@@ -241,7 +261,7 @@ def scored(shared):
 def toxicity(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, held_out, score, predicted, evidence.
 
-    Null and empty texts, and texts without a term that goes with the label, score the base rate of the labels (kept below
+    Null and empty texts, and texts without a word of any example, score the base rate of the labels (kept below
     0.5); without labels of both classes every text does. A null id is neither held out nor learned from; repeated rows score
     alike; a document with contradicting labels counts as toxic; an empty table gives an empty result; other
     columns are not read.
