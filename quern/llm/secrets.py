@@ -2,7 +2,8 @@
 
 A byte-pair vocabulary spells ordinary words with few tokens and random strings with
 many. Runs of credential characters whose characters-per-token ratio is low are reported as
-kind ``ratio``, unless they are known digests or identifiers or touch a span of a fixed pattern.
+kind ``ratio``, unless they are known digests or touch a span of a fixed pattern. Names of words and numbers are left
+out only if the vocabulary spells them well. Of a run that is not random as a whole, the stretches between its plain words are looked at.
 """
 
 from __future__ import annotations
@@ -34,6 +35,10 @@ DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-
 UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}\Z")
 #: Words, numbers and short version marks joined by _, - or /: names of files, variables, tickets.
 NAME = re.compile(r"[_/=+-]*(?:[A-Za-z]+\d{0,4}|\d+)(?:[_/=+-]+(?:[A-Za-z]+\d{0,4}|\d+))*[_/=+-]*\Z")
+PART = re.compile(r"[A-Za-z0-9]+")
+WORD = re.compile(r"[A-Za-z]+\d{0,4}\Z")
+#: Shorter words may stand in a random string by chance; they do not divide a run.
+LEAST_WORD = 4
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -45,16 +50,42 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def ratio(s: str, encoding) -> float:
+    """Characters per token."""
+    return len(s) / len(encoding.encode_ordinary(s))
+
+
+def is_plain(part: str, encoding) -> bool:
+    """A number, a single token, or a word that few tokens spell."""
+    return part.isdigit() or (WORD.match(part) is not None and (ratio(part, encoding) >= MOST_RATIO or ratio(part, encoding) == len(part)))
+
+
 def is_random(s: str, encoding) -> bool:
-    """Low token efficiency, mixed letters and digits, no known digest or identifier."""
-    if DIGEST.match(s) or UUID.match(s) or NAME.match(s):
-        return False
-    if not (any(c.isdigit() for c in s) and any(c.isalpha() for c in s)):
+    """Low token efficiency, with letters, no known digest, no identifier whose parts are mostly plain."""
+    if DIGEST.match(s) or UUID.match(s) or not any(c.isalpha() for c in s) or ratio(s, encoding) >= MOST_RATIO:
         return False
-    return len(s) / len(encoding.encode_ordinary(s)) < MOST_RATIO
+    if not NAME.match(s):
+        return True
+    parts = PART.findall(s)
+    return 2 * sum(len(x) for x in parts if not is_plain(x, encoding)) >= sum(map(len, parts))
+
+
+def candidates(s: str, encoding) -> Iterator[tuple[int, int]]:
+    """Stretches of parts between the plain words of a run."""
+    start = end = None
+    for m in PART.finditer(s):
+        if m.end() - m.start() >= LEAST_WORD and WORD.match(m[0]) and is_plain(m[0], encoding):
+            if start is not None:
+                yield start, end
+            start = None
+        else:
+            start, end = (m.start() if start is None else start), m.end()
+    if start is not None:
+        yield start, end
 
 
 def ratio_spans(text: str, base: list[tuple[int, int, int]], encoding) -> list[tuple[int, int, int]]:
+    """Runs that are random as a whole; of the others the stretches that are."""
     out = []
     for m in RUN.finditer(text):
         a, b = m.span()
@@ -62,6 +93,8 @@ def ratio_spans(text: str, base: list[tuple[int, int, int]], encoding) -> list[t
             continue
         if is_random(m[0], encoding):
             out.append((a, 3, b))
+        elif not (DIGEST.match(m[0]) or UUID.match(m[0])):
+            out += [(a + i, 3, a + j) for i, j in candidates(m[0], encoding) if j - i >= LEAST_CHARS and is_random(m[0][i:j], encoding)]
     return out
 
 

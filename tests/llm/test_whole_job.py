@@ -1,9 +1,11 @@
 """Cases in which an operator once did less than its whole job."""
 
+import random
+import string
 import zlib
 
 import cases
-from quern.llm import toxicity
+from quern.llm import secrets, toxicity
 
 
 def test_toxicity_keeps_all_terms_and_examples(spark):
@@ -16,3 +18,19 @@ def test_toxicity_keeps_all_terms_and_examples(spark):
     assert sorted(model["index"].docs) == learned and {"quagga", "zephyr", "thing*"} <= model["vocabulary"].keys()
     got = toxicity.toxicity(cases.frame(spark, [(1, "a quagga", "", "", 1)]), model).collect()[0]
     assert got.evidence.split(":")[0] in ("200", "201") and got.predicted == 0
+
+
+def test_secrets_of_letters_and_behind_paths():
+    encoding = secrets.encoding_of(secrets.vocabulary(secrets.VOCABULARY))
+    rng = random.Random(3)
+    found = lambda t: secrets.ratio_spans(t, [], encoding)
+    for letters, behind in ((string.ascii_letters, 24), (string.ascii_letters + string.digits, 24), (string.ascii_letters + string.digits + "-_", 32)):
+        hits = whole = 0
+        for _ in range(300):
+            key = "K" + "".join(rng.choice(letters) for _ in range(behind - 2)) + "q"
+            hits += found(f"a {key} b") == [(2, 3, 2 + behind)]
+            prefix = "com/services/webhooks/incoming/"
+            whole += any(a <= len(prefix) + 4 and b == len(prefix) + behind for a, _, b in found(prefix + key))
+        assert hits >= 297 and whole >= 285, (hits, whole)
+    for name in ("the_quick_brown_fox_jumps_over_2024", "com/services/webhooks/incoming/messages", "internationalization", "2024-01-15-12-30-45-000", "========================", "123e4567-e89b-42d3-a456-426614174000"):
+        assert found(name) == [], name
