@@ -146,7 +146,7 @@ class Index:
         self.add(cos, part[use], x[use])
         if skip >= 0:
             cos[skip] = 0
-        floor = np.partition(cos, -k - 1)[-k] if len(cos) > k else 0.0
+        floor = np.partition(cos, len(cos) - k)[len(cos) - k] if len(cos) > k else 0.0
         rest = order[FIRST:][bound[order[FIRST:]] >= floor - 1e-12]
         if len(rest):
             chosen[:] = False

@@ -4,6 +4,8 @@ import random
 import string
 import zlib
 
+import numpy as np
+
 import cases
 from quern.llm import secrets, toxicity
 
@@ -34,3 +36,20 @@ def test_secrets_of_letters_and_behind_paths():
         assert hits >= 297 and whole >= 285, (hits, whole)
     for name in ("the_quick_brown_fox_jumps_over_2024", "com/services/webhooks/incoming/messages", "internationalization", "2024-01-15-12-30-45-000", "========================", "123e4567-e89b-42d3-a456-426614174000"):
         assert found(name) == [], name
+
+
+def test_toxicity_floor_is_the_kth_best(monkeypatch):
+    """No block that holds a neighbour is skipped, in whatever order a partition leaves the entries beyond the asked one."""
+    partition = np.partition
+
+    def descending(x, kth):
+        y = partition(x, kth)
+        y[kth % len(y) + 1 :] = np.sort(y[kth % len(y) + 1 :])[::-1]
+        return y
+
+    monkeypatch.setattr(toxicity.np, "partition", descending)
+    groups = 20
+    examples = [(i, 0, {i // 64: 8} | ({groups: 1 + i // 64} if i % 64 == 0 else {})) for i in range(64 * groups)]
+    index = toxicity.Index(examples, np.array([1.0] * groups + [0.1]), {0: 1.0})
+    near, _ = index.nearest(np.array([groups]), np.array([1.0]))
+    assert {index.docs[i] // 64 for i in near} == set(range(groups - toxicity.NEIGHBOURS, groups))
