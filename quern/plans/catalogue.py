@@ -218,7 +218,7 @@ def stem_porter(spark, d):
 
 def search_grouped_bm25(spark, d):
     index = stored(spark, d, "grouped-porter", lambda: reindex.grouped(words_index(spark, d), "porter"))
-    return result(rank.search(index, short_queries(spark, d), "bm25", 100))
+    return result(rank.search(index, passages(spark, d), "bm25", 100))
 
 
 def search_phrases_lm(spark, d):
