@@ -44,29 +44,35 @@ def drop_dir(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def least_hashed(rows: DataFrame, cls: str, limits: dict, counts: dict) -> list[tuple]:
-    """(id, class): of each class of ``rows(id, cls)`` the limits[class] rows with the least hashes of their id.
+def least_hashed(rows: DataFrame, limits: dict, counts: dict, most_bytes: int) -> list[tuple]:
+    """(key, class): of each class of ``rows(key long, cls, bytes)`` the limits[class] rows with the least hashes of their key.
 
-    ``counts`` has the rows of each class. A hash bound that twice the limit should stay under comes before the window,
+    ``counts`` has the rows of each class. A class gets an even share of ``most_bytes``: in order of the hashes, rows that
+    would go beyond it are passed over. A hash bound that twice the limit should stay under comes before the window,
     so the window gets about that many rows a class from all tasks together; a class that it leaves
-    short, as when few ids repeat a lot, is picked again from all its rows.
+    short, as when few keys repeat a lot, is picked again from all its rows.
     """
-    by = lambda of: F.create_map(*chain.from_iterable((F.lit(c), F.lit(v)) for c, v in of.items()))[F.col(cls)]
-    h = F.xxhash64("id")
+    by = lambda of: F.create_map(*chain.from_iterable((F.lit(c), F.lit(v)) for c, v in of.items()))[F.col("cls")]
+    h = F.xxhash64("key")
 
-    def pick(bounds: dict) -> list[tuple]:
+    def pick(bounds: dict) -> list:
         if not bounds:
             return []
-        under = rows.where(h <= by(bounds)).select("id", cls)
-        ranked = under.withColumn("k", F.row_number().over(W.partitionBy(cls).orderBy(h, "id"))).where(F.col("k") <= max(limits.values()))
-        return [(r["id"], r[cls]) for r in ranked.where(F.col("k") <= by(limits)).collect()]
+        under = rows.where(h <= by(bounds)).select("key", "cls", "bytes")
+        ranked = under.withColumn("k", F.row_number().over(W.partitionBy("cls").orderBy(h, "key"))).where(F.col("k") <= max(limits.values()))
+        return ranked.where(F.col("k") <= by(limits)).orderBy("cls", "k").collect()
 
     top = (1 << 63) - 1
     share = {c: (2 * limits[c] + 100) / max(1, n) for c, n in counts.items()}
     got = pick({c: top if f >= 1 else int(f * (1 << 64)) - (1 << 63) for c, f in share.items()})
-    have = Counter(c for _, c in got)
+    have = Counter(r["cls"] for r in got)
     short = {c for c, n in counts.items() if have[c] < min(n, limits[c])}
-    return [g for g in got if g[1] not in short] + pick(dict.fromkeys(short, top))
+    out, used = [], Counter()
+    for r in [g for g in got if g["cls"] not in short] + pick(dict.fromkeys(short, top)):
+        if used[r["cls"]] + r["bytes"] <= most_bytes // max(1, len(counts)):
+            used[r["cls"]] += r["bytes"]
+            out.append((r["key"], r["cls"]))
+    return out
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

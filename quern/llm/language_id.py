@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,14 +21,16 @@ from pyspark.sql import functions as F
 from .common import least_hashed
 from .words import id_text, public_id, slices
 
-#: The classifier is fitted on at most so many labelled rows a language, those with the least hashes of their ids.
-DOCS_PER_LANG = 300
-#: Languages with most rows among those that a model can learn.
-MOST_LANGS = 64
+#: The classifier is fitted on at most DOCS_PER_LANG labelled rows a language, those with the least hashes of id and text;
+#: on fewer a language, but one at least, where that would be over SAMPLE_ROWS rows or SAMPLE_BYTES bytes in all.
+DOCS_PER_LANG, SAMPLE_ROWS, SAMPLE_BYTES = 300, 19_200, 96 << 20
 LEXICON = 1500
-BUCKETS = 1 << 16
+#: Feature buckets, and weights of a model: buckets times languages. The buckets are halved until that holds.
+BUCKETS, MOST_WEIGHTS = 1 << 16, 1 << 22
 SEQUENCES, LENGTH, EPOCHS = 3000, 48, 12
 CACHE_WORDS = 300_000
+#: Words times languages worked through at a time; a longer text goes by segments.
+CELLS = 1_600_000
 WORD = re.compile(r"[^\W\d_]+")
 START, END = 2, 3
 
@@ -50,7 +53,7 @@ class Emissions(dict):
     def settle(self) -> None:
         if not self.fresh:
             return
-        at, words = features(self.fresh, self.lexicon)
+        at, words = features(self.fresh, self.lexicon, len(self.weights))
         n = len(self)
         if n > len(self.scores):
             grown = np.zeros((max(n, 2 * len(self.scores)), self.scores.shape[1]), np.float32)
@@ -60,7 +63,7 @@ class Emissions(dict):
         self.fresh = []
 
 
-def features(words: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+def features(words: list[str], lexicon: dict[str, int], buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Feature buckets of the words, one after another, and where each word's begin."""
     c = np.frombuffer("".join(["\x02" + w + "\x03" for w in words]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     length = np.array([len(w) + 2 for w in words])
@@ -74,7 +77,7 @@ def features(words: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray, np.
         for p in parts:
             h = (h ^ p) * mult
             h ^= h >> np.uint64(29)
-        return (h >> np.uint64(40)).astype(np.int64) % BUCKETS
+        return (h >> np.uint64(40)).astype(np.int64) % buckets
 
     place = np.arange(len(c)) - begin[owner]
     left = length[owner] - place  # characters from here to the end of the word, border included
@@ -83,7 +86,7 @@ def features(words: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray, np.
     kinds = [(two, bucket(11, c, nxt)), (three, bucket(12, c, nxt, third)), (affix, bucket(13, c, nxt, third, fourth))]
     own = [owner[m] for m, _ in kinds]
     at = [b[m] for m, b in kinds]
-    entry = np.array([lexicon.get(w, 0) for w in words], np.int64)  # 0: in no lexicon, also a feature
+    entry = np.array([lexicon.get(w, 0) for w in words], np.int64) % buckets  # 0: in no lexicon, also a feature
     at.append(entry)
     own.append(np.arange(len(words)))
     own_all, at_all = np.concatenate(own), np.concatenate(at)
@@ -126,12 +129,14 @@ def fit(samples: list[tuple[str, str]]) -> dict:
     langs = sorted({lang for lang, _ in samples})
     texts = {lang: [w for lang2, t in samples if lang2 == lang and (w := WORD.findall(t.lower()))] for lang in langs}
     langs = [lang for lang in langs if texts[lang]]
-    k = len(langs)
+    k, buckets = len(langs), BUCKETS
+    while buckets * k > MOST_WEIGHTS and buckets > 1024:
+        buckets //= 2
     if k == 0:
         return {"langs": [], "weights": np.zeros((BUCKETS, 1), np.float32), "trans": np.ones((1, 1)), "lexicon": {}}
     lexicon: dict[str, int] = {}
     for lang in langs:
-        for w, _ in Counter(w for x in texts[lang] for w in x[:2000]).most_common(LEXICON):
+        for w, _ in Counter(chain.from_iterable(texts[lang])).most_common(LEXICON):
             lexicon.setdefault(w, 1 + len(lexicon))
     rng = np.random.default_rng(7)
     seqs, labels = [], []
@@ -151,10 +156,10 @@ def fit(samples: list[tuple[str, str]]) -> dict:
     y = np.array(labels)
     index: dict[str, int] = {}
     ids = np.array([[index.setdefault(w, len(index)) for w in s] for s in seqs])
-    at, starts = features(list(index), lexicon)
+    at, starts = features(list(index), lexicon, buckets)
     counts = np.diff(np.append(starts, len(at)))
-    weights, trans = np.zeros((BUCKETS, k)), np.zeros((k, k))
-    gw, gt = np.full((BUCKETS, k), 1e-6), np.full((k, k), 1e-6)
+    weights, trans = np.zeros((buckets, k)), np.zeros((k, k))
+    gw, gt = np.full((buckets, k), 1e-6), np.full((k, k), 1e-6)
     onehot = np.eye(k)
     for _ in range(EPOCHS):
         for part in np.array_split(rng.permutation(len(seqs)), 10):
@@ -170,7 +175,7 @@ def fit(samples: list[tuple[str, str]]) -> dict:
             d = (onehot[tags] - post).reshape(-1, k)
             by_word = np.stack([np.bincount(inverse.ravel(), d[:, j], len(own)) for j in range(k)], axis=1)
             spread = np.repeat(by_word, counts[own], axis=0)
-            g = np.stack([np.bincount(mine, spread[:, j], BUCKETS) for j in range(k)], axis=1) / len(part) - 1e-6 * weights
+            g = np.stack([np.bincount(mine, spread[:, j], buckets) for j in range(k)], axis=1) / len(part) - 1e-6 * weights
             seen = np.zeros((k, k))
             np.add.at(seen, (tags[:, :-1].ravel(), tags[:, 1:].ravel()), 1)
             h = (seen - pair_expectations(x, a, b, et)) / len(part)
@@ -193,6 +198,36 @@ def label_words(model: dict, words: list[str]) -> list[tuple[str, str, float]]:
     return [(w, model["langs"][int(p.argmax())], float(p.max())) for w, p in zip(words, post, strict=True)]
 
 
+def segmented(e: Emissions, ids: np.ndarray, trans: np.ndarray, size: int) -> np.ndarray:
+    """Mean posterior of one long text: messages are kept at the borders of segments of ``size`` words and worked out again inside."""
+    def emitted(a: int, b: int) -> np.ndarray:
+        s = e.scores[ids[a:b]].astype(np.float64)
+        return np.exp(s - s.max(axis=1, keepdims=True))
+
+    starts = range(0, len(ids), size)
+    before, row = [], None  # the forward message that enters each segment
+    for a in starts:
+        before.append(row)
+        for x in emitted(a, a + size):
+            row = x if row is None else (row @ trans) * x
+            row = row / row.sum()
+    total, after = np.zeros(trans.shape[0]), None  # the backward message that enters each segment from behind
+    for a, row in zip(reversed(starts), reversed(before), strict=True):
+        x = emitted(a, a + size)
+        forward = np.empty_like(x)
+        for t in range(len(x)):
+            row = x[t] if row is None else (row @ trans) * x[t]
+            forward[t] = row = row / row.sum()
+        b = np.ones(trans.shape[0]) if after is None else after
+        for t in range(len(x) - 1, -1, -1):
+            post = forward[t] * b
+            total += post / post.sum()
+            b = trans @ (x[t] * b)
+            b = b / b.sum()
+        after = b
+    return total / len(ids)
+
+
 def posteriors(model: dict, e: Emissions, texts: list[str]) -> np.ndarray:
     """Mean posterior of each language by text; rows of zeros without words."""
     k = len(model["langs"])
@@ -202,10 +237,14 @@ def posteriors(model: dict, e: Emissions, texts: list[str]) -> np.ndarray:
     ids = [e.rows(WORD.findall(t.lower())) for t in texts]
     e.settle()
     order = sorted((i for i in range(len(ids)) if len(ids[i])), key=lambda i: -len(ids[i]))
-    at = 0
+    at, most = 0, max(1, CELLS // k)
     while at < len(order):
         longest = len(ids[order[at]])
-        part = order[at : at + max(1, min(512, 400_000 // longest))]
+        if longest > most:
+            out[order[at]] = segmented(e, ids[order[at]], model["trans"], most)
+            at += 1
+            continue
+        part = order[at : at + min(512, most // longest)]
         at += len(part)
         lengths = np.array([len(ids[i]) for i in part])
         x = np.ones((len(part), longest, k))
@@ -238,16 +277,22 @@ def predicted(shared):
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict:
-    """Fit on labelled rows with crc32(id as text) mod 3 other than 1; the texts of a bounded sample come to the driver."""
+    """Fit on labelled rows with crc32(id as text) mod 3 other than 1; the texts of a bounded sample come to the driver.
+
+    Every value of lang is learned. Rows are told apart by id and text, so repeated ids bring no more than the sample's rows.
+    """
     x = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"), F.col(lang_col).alias("lang"))
     x = x.where((F.crc32(F.col("id").cast("string")) % 3 != 1) & F.col("lang").isNotNull() & F.col("t").isNotNull())
-    counts = {r.lang: r["count"] for r in x.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()}
+    counts = {r.lang: r["count"] for r in x.groupBy("lang").count().collect()}
     if not counts:
         return fit([])
-    chosen = sorted({i for i, _ in least_hashed(x, "lang", dict.fromkeys(counts, DOCS_PER_LANG), counts)})
-    ids = docs.sparkSession.createDataFrame([(i,) for i in chosen], "id long")  # at most MOST_LANGS * DOCS_PER_LANG
-    rows = x.join(F.broadcast(ids), "id").select("id", "lang", "t").limit(2 * DOCS_PER_LANG * MOST_LANGS).collect()
-    return fit([(r.lang, r.t) for r in sorted(rows, key=lambda r: (r.id, r.lang, r.t))])
+    x = x.withColumn("key", F.xxhash64("id", "t"))
+    each = max(1, min(DOCS_PER_LANG, SAMPLE_ROWS // len(counts)))
+    rows = x.select("key", F.col("lang").alias("cls"), F.octet_length("t").alias("bytes"))
+    chosen = least_hashed(rows, dict.fromkeys(counts, each), counts, SAMPLE_BYTES)
+    keys = docs.sparkSession.createDataFrame(sorted(set(chosen)), "key long, lang string")  # at most SAMPLE_ROWS, or one a language
+    rows = x.join(F.broadcast(keys), ["key", "lang"]).groupBy("key", "lang").agg(F.min("t").alias("t")).collect()
+    return fit([(r.lang, r.t) for r in sorted(rows, key=lambda r: (r.lang, r.key))])
 
 
 def identify(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

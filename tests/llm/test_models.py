@@ -44,6 +44,31 @@ def test_forward_backward_against_enumeration():
     assert np.allclose(language_id.pair_expectations(x, a, b, trans), pairs / total)
 
 
+def test_long_texts_go_by_segments(monkeypatch):
+    """The mean posterior of a text is the same in one piece and by segments."""
+    words = {"en": "the cat and the dog run over a hill", "fr": "le chat et le chien sur la colline", "de": "der hund und die katze auf dem berg"}
+    model = language_id.fit([(k, v) for k, v in words.items() for _ in range(10)])
+    texts = [" ".join(words.values()) * n for n in (1, 3, 40)]
+    e = language_id.Emissions(model["weights"], model["lexicon"])
+    want = language_id.posteriors(model, e, texts)
+    for cells in (3, 21, 300):
+        monkeypatch.setattr(language_id, "CELLS", cells)
+        assert np.allclose(language_id.posteriors(model, e, texts), want, atol=1e-6)
+
+
+def test_every_language_is_learned():
+    """Beyond 64 languages, and words that come late in a text, are learned too."""
+    rng = np.random.default_rng(3)
+    vocabulary = {f"l{k:03d}": ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(12)] for k in range(66)}
+    model = language_id.fit([(k, " ".join(w * 3)) for k, w in vocabulary.items()])
+    assert model["langs"] == sorted(vocabulary)
+    e = language_id.Emissions(model["weights"], model["lexicon"])
+    got = language_id.posteriors(model, e, [" ".join(w) for w in vocabulary.values()]).argmax(axis=1)
+    assert np.mean([model["langs"][g] == k for g, k in zip(got, vocabulary, strict=True)]) > 0.9
+    late = language_id.fit([("en", "a " * 3000 + "zebra " * 3), ("fr", "b " * 10)])
+    assert "zebra" in late["lexicon"]
+
+
 def test_code_switched_words_get_their_own_language(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = language_id.train(docs)

@@ -111,9 +111,14 @@ def test_least_hashed(spark):
     from quern.llm.common import least_hashed
 
     rows = [(i, "a") for i in range(5000)] + [(i, "b") for i in range(7)] + [(i % 3, "c") for i in range(4000)]
-    df = spark.createDataFrame(rows, "id long, y string")
-    got = least_hashed(df, "y", {"a": 20, "b": 20, "c": 10}, {"a": 5000, "b": 7, "c": 4000})
+    df = spark.createDataFrame(rows, "key long, cls string").withColumn("bytes", F.lit(10))
+    limits, counts = {"a": 20, "b": 20, "c": 10}, {"a": 5000, "b": 7, "c": 4000}
+    got = least_hashed(df, limits, counts, 1 << 20)
     h = sorted((r.h, r.id) for r in spark.range(5000).select(F.xxhash64("id").alias("h"), "id").collect())
     assert sorted(i for i, y in got if y == "a") == sorted(i for _, i in h[:20])
     assert sum(y == "b" for _, y in got) == 7 and sum(y == "c" for _, y in got) == 10
-    assert least_hashed(df.where("false"), "y", {}, {}) == []
+    assert least_hashed(df.where("false"), {}, {}, 1) == []
+    # a class has a third of the bytes; what would go beyond is passed over
+    df = df.withColumn("bytes", F.when(F.col("key") == h[0][1], 1000).otherwise(10))
+    few = [i for i, y in least_hashed(df, limits, counts, 3 * 100) if y == "a"]
+    assert few == [i for _, i in h[1:11]]
