@@ -3,9 +3,11 @@
 Terms are all words of the labelled sample and the five-letter stems of longer words. A term's weight is its inverse
 document frequency, which counts all documents, times its association with the label in the sample (chi-square), which is
 never 0; words that no example has add nothing to a cosine and are left out of a text's length. The examples lie in an
-inverted index in blocks; per term and block the largest weight is known. A query scores the blocks with the largest
-bounds, and only those others whose bound exceeds the k-th best cosine so far, so the neighbours are exact. Votes are
-weighted by nearness and class frequency, then calibrated on the examples' own left-one-out votes.
+inverted index in blocks; per term and block the largest weight is known. The most frequent terms are multiplied as one
+matrix for many queries at a time; of the others a query scores the blocks with the largest bounds, and only those whose
+bound exceeds the k-th best cosine so far. The best are worked out again in double precision, so the neighbours are exact
+for the index's weights, which are kept in single precision. Votes are weighted by nearness and class frequency, then
+calibrated on the examples' own left-one-out votes.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -20,17 +23,21 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import least_hashed
-from .words import CACHE_WORDS, id_text, public_id, slices
+from .common import least_hashed, stage
+from .words import id_text, public_id, slices
 
-#: The classifier is fitted on at most so many labelled rows of each class, those with the least hashes of their ids.
-ROWS_PER_CLASS = {1: 2000, 0: 4000}
+#: The classifier is fitted on at most so many labelled rows of each class, those with the least hashes of id and text, and
+#: on at most SAMPLE_BYTES of text.
+ROWS_PER_CLASS, SAMPLE_BYTES = {1: 2000, 0: 4000}, 64 << 20
 #: A term weighs LEAST_WEIGHT, and one more as its chi-square grows; half of that at HALF_CHI2.
 LEAST_WEIGHT, HALF_CHI2 = 0.1, 20.0
 BLOCK, NEIGHBOURS = 64, 15
 #: Blocks scored before the bounds of the others are looked at.
 FIRST = 3
-DENSE = 8
+#: Terms that more than one in DENSE examples have, at most MOST_DENSE of them, are multiplied as a matrix, BATCH queries at a time.
+DENSE, MOST_DENSE, BATCH = 16, 1024, 64
+#: More than single precision can be off by.
+SLACK = 1e-5
 STEM = 5
 WORD = re.compile(r"[^\W\d_]+")
 CACHE_QUERIES = 50_000
@@ -42,30 +49,26 @@ def spans(start: np.ndarray, stop: np.ndarray) -> np.ndarray:
     return np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
 
 
-class Terms(dict):
-    """Numbers of the terms of a word, remembered: one more than the word's, and above 32 bits one more than its stem's; 0 for none.
-
-    Stems end in '*'. New terms are numbered while ``learning``.
-    """
+class Terms:
+    """Numbers of words and of the stems of longer words, which end in '*'. New terms are numbered while ``learning``."""
 
     def __init__(self, vocabulary: dict[str, int], learning: bool = False) -> None:
         self.vocabulary, self.learning = vocabulary, learning
 
-    def number(self, term: str) -> int:
-        return 1 + (self.vocabulary.setdefault(term, len(self.vocabulary)) if self.learning else self.vocabulary.get(term, -1))
-
-    def __missing__(self, word: str) -> int:
-        self[word] = n = self.number(word) | (self.number(word[:STEM] + "*") << 32 if len(word) > STEM else 0)
-        return n
-
     def of(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """(terms, their frequencies) of a text."""
-        if len(self) > CACHE_WORDS:
-            self.clear()
-        words = WORD.findall(text.lower())
-        x = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        x = np.concatenate([x & 0xFFFFFFFF, x >> 32])
-        return np.unique(x[x > 0] - 1, return_counts=True)
+        """(terms in order, their frequencies) of a text."""
+        found = Counter(WORD.findall(text.lower()))
+        words = list(found)
+        stems = [w[:STEM] + "*" for w in words if len(w) > STEM]
+        if self.learning:
+            for w in chain(words, stems):
+                self.vocabulary.setdefault(w, len(self.vocabulary))
+        n = np.fromiter(found.values(), np.int64, len(words))
+        n = np.concatenate([n, n[np.fromiter((len(w) > STEM for w in words), bool, len(words))]])
+        t = np.fromiter(map(self.vocabulary.get, chain(words, stems), repeat(-1)), np.int64, len(n))
+        t, at = np.unique(t, return_inverse=True)
+        n = np.bincount(at, n, len(t)).astype(np.int64)
+        return (t[1:], n[1:]) if len(t) and t[0] < 0 else (t, n)
 
 
 def association(p: np.ndarray, q: np.ndarray, pos: int, neg: int) -> np.ndarray:
@@ -94,32 +97,38 @@ class Index:
     """Block-max inverted index over labelled examples; ``idf`` weighs the terms."""
 
     def __init__(self, examples: list[tuple[int, int, dict[int, int] | tuple[np.ndarray, np.ndarray]]], idf: np.ndarray, class_weight: dict[int, float]) -> None:
-        rows = [(doc, y, *(weighted(tf, idf) if isinstance(tf, dict) else unit(*tf, idf))) for doc, y, tf in examples]
-        rows.sort(key=lambda r: (int(r[2][r[3].argmax()]), -r[3].max(), r[0]) if len(r[2]) else (len(idf), 0.0, r[0]))  # like next to like: tight bounds
+        rows = []
+        for doc, y, tf in examples:
+            t, w = weighted(tf, idf) if isinstance(tf, dict) else unit(*tf, idf)
+            rows.append((doc, y, t.astype(np.int32), w.astype(np.float32)))
+        rows.sort(key=lambda r: (int(r[2][r[3].argmax()]), -float(r[3].max()), r[0]) if len(r[2]) else (len(idf), 0.0, r[0]))  # like next to like: tight bounds
         self.docs = [r[0] for r in rows]
         self.y = np.array([r[1] for r in rows], np.float64)
         self.mass = np.array([class_weight[r[1]] for r in rows])
         self.idf, self.rows = idf, rows
         n, v = len(rows), len(idf)
         self.blocks = -(-n // BLOCK)
-        term = np.concatenate([r[2] for r in rows]) if rows else np.zeros(0, np.int64)
-        doc = np.repeat(np.arange(n), [len(r[2]) for r in rows]) if rows else term
-        weight = np.concatenate([r[3] for r in rows]) if rows else np.zeros(0)
-        order = np.argsort(term, kind="stable")  # by term, then example
-        term, doc, self.weight = term[order], doc[order], weight[order]
-        # a list has a part for every block that holds its term
-        cell = term * max(1, self.blocks) + doc // BLOCK
-        first = np.flatnonzero(np.diff(cell, prepend=-1))
-        self.doc, self.part, self.block = doc, np.append(first, len(cell)), doc[first] // BLOCK
-        self.best = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
-        self.start = np.searchsorted(term[first], np.arange(v + 1))
-        # weights of terms in many examples are also kept in full: at most DENSE times their postings
-        often = np.flatnonzero(self.part[self.start[1:]] - self.part[self.start[:-1]] > n / DENSE)
-        self.row = np.full(v, -1)
+        term = np.concatenate([r[2] for r in rows]) if rows else np.zeros(0, np.int32)
+        doc = np.repeat(np.arange(n, dtype=np.int32), [len(r[2]) for r in rows]) if rows else term
+        weight = np.concatenate([r[3] for r in rows]) if rows else np.zeros(0, np.float32)
+        # frequent terms as a matrix, a row a term
+        size = np.bincount(term, minlength=v)
+        often = np.flatnonzero(size > n / DENSE)
+        often = np.sort(often[np.argsort(-size[often], kind="stable")[:MOST_DENSE]])
+        self.row = np.full(v, -1, np.int32)
         self.row[often] = np.arange(len(often))
-        self.full = np.zeros((len(often), n))
+        self.full = np.zeros((len(often), self.blocks * BLOCK), np.float32)
         at = self.row[term]
-        self.full[at[at >= 0], doc[at >= 0]] = self.weight[at >= 0]
+        self.full[at[at >= 0], doc[at >= 0]] = weight[at >= 0]
+        # the others as lists by term, then example; a list has a part for every block that holds its term
+        rare = np.flatnonzero(at < 0)
+        rare = rare[np.argsort(term[rare], kind="stable")]
+        term, self.doc, self.weight = term[rare], doc[rare], weight[rare]
+        cell = term.astype(np.int64) * max(1, self.blocks) + self.doc // BLOCK
+        first = np.flatnonzero(np.diff(cell, prepend=-1))
+        self.part, self.block = np.append(first, len(cell)).astype(np.int32), (self.doc[first] // BLOCK).astype(np.int32)
+        self.best = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0, np.float32)
+        self.start = np.searchsorted(term[first], np.arange(v + 1)).astype(np.int32)
 
     def add(self, cos: np.ndarray, part: np.ndarray, x: np.ndarray) -> None:
         """Adds what the given parts of lists make, of terms with weights ``x`` in the query."""
@@ -128,40 +137,51 @@ class Index:
         cos += np.bincount(self.doc[at], np.repeat(x, b - a) * self.weight[at], len(cos))
 
     def nearest(self, t: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """(examples, cosines) of the k nearest with a cosine above 0; ties go to the earlier example."""
+        return self.all_nearest([(t, w)], k, [skip])[0]
+
+    def all_nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int = NEIGHBOURS, skip: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query (terms, weights): (examples, cosines) of the k nearest with a cosine above 0; ties go to the earlier example."""
+        out = []
+        for a in range(0, len(queries), BATCH):
+            part = queries[a : a + BATCH]
+            q = np.zeros((len(part), len(self.full)), np.float32)
+            for i, (t, w) in enumerate(part):
+                row = self.row[t]
+                q[i, row[row >= 0]] = w[row >= 0]
+            dense = q @ self.full
+            out += [self.refined(t, w, dense[i], k, -1 if skip is None else skip[a + i]) for i, (t, w) in enumerate(part)]
+        return out
+
+    def refined(self, t: np.ndarray, w: np.ndarray, dense: np.ndarray, k: int, skip: int) -> tuple[np.ndarray, np.ndarray]:
+        """``nearest``, given what the frequent terms make."""
         if not len(t) or not self.docs:
             return np.zeros(0, np.int64), np.zeros(0)
+        row = self.row[t]
         a, b = self.start[t], self.start[t + 1]
         part, x = spans(a, b), np.repeat(w, b - a)
         block = self.block[part]
-        bound = np.bincount(block, x * self.best[part], self.blocks)
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
+        bound = np.bincount(block, x * self.best[part], self.blocks) + dense.reshape(self.blocks, BLOCK).max(axis=1)
         chosen = np.zeros(self.blocks, bool)
-        chosen[order[:FIRST]] = True
-        row = self.row[t]
-        rare = np.repeat(row < 0, b - a)
-        cos = w[row >= 0] @ self.full[row[row >= 0]]  # of all blocks; of those not chosen it stays below the bound
-        use = chosen[block] & rare
+        chosen[np.argsort(-bound, kind="stable")[:FIRST]] = True
+        cos = dense.astype(np.float64)  # of blocks not chosen it stays below the bound
+        use = chosen[block]
         self.add(cos, part[use], x[use])
         if skip >= 0:
             cos[skip] = 0
         floor = np.partition(cos, len(cos) - k)[len(cos) - k] if len(cos) > k else 0.0
-        rest = order[FIRST:][bound[order[FIRST:]] >= floor - 1e-12]
-        if len(rest):
-            chosen[:] = False
-            chosen[rest] = True
-            use = chosen[block] & rare
+        rest = ~chosen & (bound > 0) & (bound >= floor - SLACK)
+        if rest.any():
+            use = rest[block]
             self.add(cos, part[use], x[use])
         if skip >= 0:
             cos[skip] = 0
-        cos = np.round(np.minimum(cos, 1.0), 12)
-        top = np.argpartition(-cos, k)[: k + 1] if len(cos) > k + 1 else np.arange(len(cos))
-        if len(cos) > k + 1:
-            top = np.flatnonzero(cos >= cos[top].min())
-        top = top[np.lexsort((top, -cos[top]))][:k]
-        top = top[cos[top] > 0]
-        return top, cos[top]
+        floor = np.partition(cos, len(cos) - k)[len(cos) - k] if len(cos) > k else 0.0
+        near = np.flatnonzero((cos >= floor - SLACK) & (cos > 0))
+        exact = cos[near] - dense[near] + w[row >= 0] @ self.full[np.ix_(row[row >= 0], near)].astype(np.float64)
+        exact = np.round(np.minimum(exact, 1.0), 12)
+        top = np.lexsort((near, -exact))[:k]
+        top = top[exact[top] > 0]
+        return near[top], exact[top]
 
     def vote(self, near: np.ndarray, cos: np.ndarray, prior: float) -> float:
         """Share of toxic votes; one vote for the base rate keeps weak evidence weak."""
@@ -200,21 +220,26 @@ def counted(shared):
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> dict:
-    """Fit on labelled rows with crc32(id as text) mod 5 other than 0; their texts, of a bounded sample, come to the driver."""
+    """Fit on labelled rows with crc32(id as text) mod 5 other than 0; their texts, of a bounded sample, come to the driver.
+
+    Rows are told apart by id and text, so repeated ids bring no more than the sample's rows.
+    """
     spark = docs.sparkSession
     y = labels.select(F.col("doc_id").cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("id").isNotNull())
     y = y.where(F.crc32(F.col("id").cast("string")) % 5 != 0).groupBy("id").agg(F.max("y").alias("y"))
-    x = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    labelled = y.join(x.select("id").distinct(), "id", "left_semi")
-    total = {r.y: r["count"] for r in labelled.groupBy("y").count().collect()}
-    chosen = spark.createDataFrame(least_hashed(labelled, "y", ROWS_PER_CLASS, total), "id long, y int")
-    rows = x.join(F.broadcast(chosen), "id").dropDuplicates(["id"]).collect()  # at most sum(ROWS_PER_CLASS) texts
-    rows.sort(key=lambda r: r.id)
+    x = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).withColumn("key", F.xxhash64("id", "t"))
+    labelled = stage(x.select("id", "key", F.octet_length("t").alias("bytes")).join(y, "id").select("key", F.col("y").alias("cls"), "bytes"), "labelled")
+    total = {r.cls: r["count"] for r in labelled.groupBy("cls").count().collect()}
+    chosen = spark.createDataFrame(least_hashed(labelled, ROWS_PER_CLASS, total, SAMPLE_BYTES), "key long, y int").dropDuplicates(["key"])
+    rows = x.join(F.broadcast(chosen), "key").groupBy("key", "y").agg(F.min("id").alias("id"), F.min("t").alias("t")).collect()  # at most sum(ROWS_PER_CLASS)
+    rows.sort(key=lambda r: (r.id, r.key))
     terms = Terms({}, learning=True)
-    samples = [(r.id, r.y, terms.of(r.t)) for r in rows]
-    vocabulary, known = terms.vocabulary, len(terms.vocabulary)
+    samples = [(r.id, r.y, tuple(z.astype(np.int32) for z in terms.of(r.t))) for r in rows]
+    rows, vocabulary = [], terms.vocabulary
+    known = len(vocabulary)
     shared = spark.sparkContext.broadcast(vocabulary)
     counts = id_text(docs, id_col, text_col).mapInArrow(counted(shared), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    shared.destroy()
     df = np.zeros(known + 1, np.int64)  # the last counts the documents
     df[counts.column("term").to_numpy()] = counts.column("n").to_numpy()
     with_term = {c: np.zeros(known) for c in (0, 1)}
@@ -226,25 +251,25 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     prior = min(0.49, max(0.001, total.get(1, 0) / size))
     weight = {c: total.get(c, 0) / size / max(1, have[c]) * max(1, len(samples)) for c in (0, 1)}
     index = Index(samples, idf, weight)
-    votes = np.array([index.vote(*index.nearest(r[2], r[3], skip=i), prior) for i, r in enumerate(index.rows)])
+    near = index.all_nearest([(r[2], r[3].astype(np.float64)) for r in index.rows], skip=list(range(len(index.rows))))
+    votes = np.array([index.vote(*x, prior) for x in near])
     curve = calibrate(votes, index.y, index.mass) if len(votes) and 0 < index.y.sum() < len(votes) else (1.0, 0.0)
     index.rows = []
     return {"vocabulary": vocabulary, "index": index, "prior": prior, "curve": curve}
 
 
-def score_of(model: dict, text: str, terms: Terms, cache: dict) -> tuple[float, str]:
-    """(score, evidence): evidence names the nearest examples as doc_id:cosine:label."""
-    key = xxhash.xxh128_digest(text.encode("utf-8", "replace"))
-    if key not in cache:
-        if len(cache) > CACHE_QUERIES:
-            cache.clear()
-        index = model["index"]
-        near, cos = index.nearest(*unit(*terms.of(text), index.idf))
+def scores_of(model: dict, texts: list[str], terms: Terms, cache: dict) -> list[tuple[float, str]]:
+    """(score, evidence) of each text: evidence names the nearest examples as doc_id:cosine:label."""
+    if len(cache) > CACHE_QUERIES:
+        cache.clear()
+    keys = [xxhash.xxh128_digest(t.encode("utf-8", "replace")) for t in texts]
+    fresh = {k: t for k, t in zip(keys, texts, strict=True) if k not in cache}
+    index, (a, b) = model["index"], model["curve"]
+    for k, (near, cos) in zip(fresh, index.all_nearest([unit(*terms.of(t), index.idf) for t in fresh.values()]), strict=True):
         p = index.vote(near, cos, model["prior"])
-        a, b = model["curve"]
         score = float(1 / (1 + np.exp(-np.clip(a * np.log(p / (1 - p)) + b, -30, 30)))) if len(near) else model["prior"]
-        cache[key] = (score, ",".join(f"{index.docs[i]}:{c:.4f}:{int(index.y[i])}" for i, c in zip(near[:3].tolist(), cos[:3].tolist(), strict=True)))
-    return cache[key]
+        cache[k] = (score, ",".join(f"{index.docs[i]}:{c:.4f}:{int(index.y[i])}" for i, c in zip(near[:3].tolist(), cos[:3].tolist(), strict=True)))
+    return [cache[k] for k in keys]
 
 
 def scored(shared):
@@ -252,8 +277,9 @@ def scored(shared):
         model = shared.value
         terms, cache = Terms(model["vocabulary"]), {}
         for batch in batches:
-            got = [score_of(model, t.as_py().decode("utf-8", "replace"), terms, cache) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array([s for s, _ in got], pa.float64()), pa.array([e for _, e in got], pa.string())], names=["doc", "score", "evidence"])
+            for part in slices(batch):
+                got = scores_of(model, [t.decode("utf-8", "replace") for t in part.column("text").to_pylist()], terms, cache)
+                yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array([s for s, _ in got], pa.float64()), pa.array([e for _, e in got], pa.string())], names=["doc", "score", "evidence"])
 
     return run
 
