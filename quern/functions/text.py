@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -79,30 +81,47 @@ def longest_match_tokens(col: Column, pattern: str) -> Column:
 def longest_match(df: DataFrame, id_col: str, text_col: str, vocabulary: DataFrame) -> DataFrame:
     """(id, tokens) by greedy longest match over ``vocabulary(term)``.
 
-    Small vocabularies become one pattern. Large ones are joined: every position meets the terms of
-    every length that start there, the longest is kept, and a fold over a text's matches takes them greedily.
+    Small vocabularies become one pattern. Large ones are joined: a text's substrings of every length that a term has meet the
+    terms, and a walk over the matches takes them greedily. Only matches are gathered by text, never substrings.
     """
     terms = vocabulary.select("term").where("term <> ''").distinct()
     head = [r.term for r in terms.limit(PATTERN_TERMS + 1).collect()]
     if len(head) <= PATTERN_TERMS:
         return df.select(F.col(id_col), longest_match_tokens(F.col(text_col), trie_pattern(head)).alias("tokens"))
-    lengths = [r[0] for r in terms.select(F.length("term")).distinct().collect()]
-    at = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).where(F.length("__text") > 0)
-    at = at.withColumn("i", F.explode(F.sequence(F.lit(1), F.length("__text"))))
-    at = at.select("__id", "i", F.explode(F.array(*(F.substring("__text", F.col("i"), F.lit(n)) for n in sorted(lengths)))).alias("term"))
-    best = at.join(terms, "term").groupBy("__id", "i").agg(F.max_by("term", F.length("term")).alias("term"))
-    lists = best.groupBy("__id").agg(F.sort_array(F.collect_list(F.struct("i", "term"))).alias("m"))
-    start = F.struct(F.lit(1).alias("next"), F.array().cast("array<string>").alias("out"))
-
-    def take(acc, x):
-        taken = F.struct((x["i"] + F.length(x["term"])).alias("next"), F.concat(acc["out"], F.array(x["term"])).alias("out"))
-        return F.when(x["i"] >= acc["next"], taken).otherwise(acc)
-
-    got = lists.select("__id", F.aggregate("m", start, take)["out"].alias("tokens"))
+    lengths = sorted(r[0] for r in terms.select(F.length("term")).distinct().collect())
+    rows = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
+    at = None
+    for n in lengths:  # all substrings of n letters in one pass over the text
+        grams = F.regexp_extract_all("__text", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
+        own = rows.select("__id", F.posexplode(grams).alias("i", "term")).join(terms.where(F.length("term") == n), "term")
+        own = own.select("__id", "i", F.lit(n).alias("n"), "term")  # by length, so of a place the longest comes last
+        at = own if at is None else at.unionByName(own)
+    lists = at.groupBy("__id").agg(F.sort_array(F.collect_list(F.struct("i", "n", "term"))).alias("m"))
+    schema = lists.select("__id", F.array().cast("array<string>").alias("tokens")).schema
+    got = lists.mapInArrow(_greedy, schema)
     out = df.select(F.col(id_col)).join(got, F.col(id_col).eqNullSafe(F.col("__id")), "left")
     return out.select(id_col, F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens"))
 
 
+def _greedy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, tokens) of (id, matches in order of place and length): the longest at a place, then on behind it."""
+    for batch in batches:
+        out = []
+        for m in batch.column("m").to_pylist():
+            tokens, last, end = [], -1, 0
+            for x in m:
+                if x["i"] == last:
+                    tokens[-1] = x["term"]
+                elif x["i"] >= end:
+                    tokens.append(x["term"])
+                    last = x["i"]
+                else:
+                    continue
+                end = last + len(x["term"].encode("utf-16-le")) // 2  # the pattern engine counts places so
+            out.append(tokens)
+        yield pa.RecordBatch.from_arrays([batch.column("__id"), pa.array(out, pa.list_(pa.string()))], names=["__id", "tokens"])
+
+
 def ln(col: Column) -> Column:
     """Natural logarithm with the limits that a columnar SQL engine gives: minus infinity at 0, NaN below."""
     return F.when(col == 0, F.lit(float("-inf"))).when(col < 0, F.lit(float("nan"))).otherwise(F.log(col))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, replace
 from functools import cached_property
 
@@ -10,10 +11,11 @@ from pyspark.sql import functions as F
 
 from .functions import stemmers, text
 from .functions.stopwords import stop_words
-from .operators.phrases import phrase_vocabulary
-from .storage import exists, number_rows, remove, rename, shared_dir, stage
+from .operators.phrases import phrase_vocabulary, without_words
+from .storage import exists, number_rows, remove, replace_text, shared_dir, stage
 
 TABLES = ("docs", "dict", "postings", "fields", "stopwords", "stats")
+CURRENT = "CURRENT"
 
 
 @dataclass(frozen=True)
@@ -56,16 +58,21 @@ class Index:
         )
 
     def save(self, path: str, overwrite: bool = False) -> Index:
-        """Writes all tables below ``path`` and returns the index that reads them. An existing index stays unless ``overwrite``."""
-        spark = self.docs.sparkSession
+        """Writes all tables below ``path`` and returns the index that reads them. An existing index stays unless ``overwrite``.
+
+        Tables lie in a folder of their own for each version; the file CURRENT, replaced by one rename, names the one
+        that counts, so a crash leaves the old index whole. Old versions are removed after that.
+        """
+        spark, path = self.docs.sparkSession, path.rstrip("/")
+        old = current_version(spark, path)
         if exists(spark, path) and not overwrite:
             raise FileExistsError(path)
-        fresh = f"{path.rstrip('/')}.writing"
-        remove(spark, fresh)
+        version = f"v-{uuid.uuid4().hex}"
         for t in TABLES:
-            getattr(self, t).write.parquet(f"{fresh}/{t}")
-        remove(spark, path)
-        rename(spark, fresh, path)
+            getattr(self, t).write.parquet(f"{path}/{version}/{t}")
+        replace_text(spark, f"{path}/{CURRENT}", version)
+        if old:
+            remove(spark, f"{path}/{old}")
         return load_index(spark, path)
 
     def staged(self, name: str = "index") -> Index:
@@ -78,8 +85,17 @@ class Index:
         return d.join(p).join(self.stats.select("num_docs", "avgdl", "sumdf"))
 
 
+def current_version(spark: SparkSession, path: str) -> str | None:
+    """The folder of the version that counts; None without a stored index."""
+    at = f"{path.rstrip('/')}/{CURRENT}"
+    return spark.read.text(at).first()[0] if exists(spark, at) else None
+
+
 def load_index(spark: SparkSession, path: str) -> Index:
-    return Index(**{t: spark.read.parquet(f"{path}/{t}") for t in TABLES})
+    version = current_version(spark, path)
+    if version is None:
+        raise FileNotFoundError(f"no index in {path}")
+    return Index(**{t: spark.read.parquet(f"{path.rstrip('/')}/{version}/{t}") for t in TABLES})
 
 
 def compact(spark: SparkSession, path: str, cluster: bool = True) -> Index:
@@ -97,9 +113,7 @@ def number_documents(corpus: DataFrame) -> DataFrame:
 def regex_counts(docs: DataFrame, stopwords: list[str] | None = None, stemmer: str = "none") -> DataFrame:
     """(docid, term, tf) of the non-empty words that are not stop words, stemmed."""
     words = docs.select("docid", F.explode(text.regex_tokens(F.col("content"))).alias("term")).where("term <> ''")
-    if stopwords:
-        words = words.where(~F.col("term").isin(*stopwords))
-    counts = words.groupBy("docid", "term").agg(F.count("*").alias("tf"))
+    counts = without_words(words, stopwords, "term").groupBy("docid", "term").agg(F.count("*").alias("tf"))
     if stemmer == "none":
         return counts
     stems = stemmers.stem_terms(counts.select("term").distinct(), "term", stemmer)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.prob import sign_test_p
@@ -77,23 +77,25 @@ def sign_tests(table: DataFrame, metric: str, lower_is_better: bool = False, bas
     return out.withColumn("p_value", sign_test_p(F.col("better"), F.col("worse")))
 
 
-def _substrings(col: str, n: int):
-    """The distinct substrings of n letters; of a shorter text the text itself."""
-    starts = F.sequence(F.lit(1), F.greatest(F.length(col) - n + 1, F.lit(1)))
-    return F.array_distinct(F.transform(starts, lambda i: F.substring(F.col(col), i, F.lit(n))))
+def _substrings(col: str, n: int) -> Column:
+    """The distinct substrings of n letters, found in one pass over the text."""
+    return F.array_distinct(F.regexp_extract_all(F.col(col), F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
 
 
 def containments(texts: DataFrame, needles: DataFrame) -> DataFrame:
     """texts(id, text) with each needles(needle_id, needle) they contain: (id, needle_id). Empty needles and nulls match nothing.
 
-    Few needles are sent to the texts. Many meet them by the needle's first letters, so no pair without those is tried.
+    Ids are distinct. Few needles are sent to the texts. Many meet the texts' substrings by the needle's first letters; only
+    the ids and those letters move, and a text is fetched once, together with all needles that it may contain.
     """
     wanted = needles.where(F.length("needle") > 0)
     if wanted.limit(FEW_NEEDLES + 1).count() <= FEW_NEEDLES:
         return texts.join(F.broadcast(wanted), F.contains("text", "needle")).select("id", "needle_id")
-    keyed = texts.select("id", "text", F.explode(_substrings("text", KEY)).alias("key"))
+    keyed = texts.select("id", F.explode(_substrings("text", KEY)).alias("key"))
     long = wanted.where(F.length("needle") >= KEY).withColumn("key", F.substring("needle", 1, KEY))
-    out = keyed.join(long, "key").where(F.contains("text", "needle")).select("id", "needle_id")
+    maybe = keyed.join(long, "key").groupBy("id").agg(F.collect_list(F.struct("needle_id", "needle")).alias("maybe"))
+    rows = texts.join(maybe, "id").select("id", F.inline(F.filter("maybe", lambda m: F.contains(F.col("text"), m["needle"]))))
+    out = rows.select("id", "needle_id")
     for n in range(1, KEY):
         grams = texts.select("id", F.explode(_substrings("text", n)).alias("needle"))
         out = out.unionByName(grams.join(wanted.where(F.length("needle") == n), "needle").select("id", "needle_id"))
@@ -101,8 +103,8 @@ def containments(texts: DataFrame, needles: DataFrame) -> DataFrame:
 
 
 def queries_with_ngrams(queries: DataFrame, ngrams: DataFrame, least: int = 2) -> DataFrame:
-    """queries(qid, text) whose lower-cased text contains at least ``least`` of ngrams(term), with their number."""
+    """queries(qid, text) whose text contains at least ``least`` of ngrams(term), with their number; case means nothing."""
     texts = queries.select(F.col("qid").alias("id"), F.lower("text").alias("text"))
-    needles = ngrams.select(F.trim("term").alias("needle")).distinct().withColumn("needle_id", F.col("needle"))
+    needles = ngrams.select(F.lower(F.trim("term")).alias("needle")).distinct().withColumn("needle_id", F.col("needle"))
     found = containments(texts, needles).groupBy("id").agg(F.count("*").alias("n_ngrams")).where(F.col("n_ngrams") >= least)
     return queries.join(found, F.col("qid") == F.col("id")).select("qid", "text", "n_ngrams")

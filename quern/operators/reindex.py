@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.stemmers import stem
 from ..index import Index
-from ..storage import number_rows, stage
+from ..storage import number_rows, running_sum, stage
 
 
 def with_priors(index: Index, priors: DataFrame | None = None, default: float | None = None, init: str | None = None) -> Index:
@@ -41,8 +40,7 @@ def renumbered(index: Index, column: str = "prior") -> Index:
 def sample_by_values(docs: DataFrame, column: str, threshold: float = 0) -> DataFrame:
     """(x, y) per distinct value over the threshold: log of the number of documents with at least it, log of the value."""
     counts = docs.where(F.col(column) > threshold).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("n"))
-    at_least = F.sum("n").over(W.orderBy(F.desc("v")).rowsBetween(W.unboundedPreceding, 0))
-    return counts.select(F.log(at_least).alias("x"), F.log("v").alias("y"))
+    return running_sum(counts, "n", "at_least", F.desc("v")).select(F.log("at_least").alias("x"), F.log("v").alias("y"))
 
 
 def bins(index: Index, total: int) -> DataFrame:
