@@ -8,7 +8,6 @@ gives the posterior of every word; a document's language is the one with the lar
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
@@ -19,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import least_hashed
-from .words import id_text, public_id, slices
+from .words import id_text, letter_words, public_id, slices
 
 #: The classifier is fitted on at most DOCS_PER_LANG labelled rows a language, those with the least hashes of id and text;
 #: on fewer a language, but one at least, where that would be over SAMPLE_ROWS rows or SAMPLE_BYTES bytes in all.
@@ -31,7 +30,6 @@ SEQUENCES, LENGTH, EPOCHS = 3000, 48, 12
 CACHE_WORDS = 300_000
 #: Words times languages worked through at a time; a longer text goes by segments.
 CELLS = 1_600_000
-WORD = re.compile(r"[^\W\d_]+")
 START, END = 2, 3
 
 
@@ -127,7 +125,7 @@ def pair_expectations(x: np.ndarray, a: np.ndarray, b: np.ndarray, trans: np.nda
 def fit(samples: list[tuple[str, str]]) -> dict:
     """Weights from (lang, text) pairs."""
     langs = sorted({lang for lang, _ in samples})
-    texts = {lang: [w for lang2, t in samples if lang2 == lang and (w := WORD.findall(t.lower()))] for lang in langs}
+    texts = {lang: [w for lang2, t in samples if lang2 == lang and (w := letter_words(t.lower()))] for lang in langs}
     langs = [lang for lang in langs if texts[lang]]
     k, buckets = len(langs), BUCKETS
     while buckets * k > MOST_WEIGHTS and buckets > 1024:
@@ -234,7 +232,7 @@ def posteriors(model: dict, e: Emissions, texts: list[str]) -> np.ndarray:
     out = np.zeros((len(texts), k))
     if len(e) > CACHE_WORDS:
         e.clear()
-    ids = [e.rows(WORD.findall(t.lower())) for t in texts]
+    ids = [e.rows(letter_words(t.lower())) for t in texts]
     e.settle()
     order = sorted((i for i in range(len(ids)) if len(ids[i])), key=lambda i: -len(ids[i]))
     at, most = 0, max(1, CELLS // k)

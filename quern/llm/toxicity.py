@@ -12,7 +12,6 @@ calibrated on the examples' own left-one-out votes.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain, repeat
@@ -24,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import least_hashed, stage
-from .words import id_text, public_id, slices
+from .words import id_text, letter_words, public_id, slices
 
 #: The classifier is fitted on at most so many labelled rows of each class, those with the least hashes of id and text, and
 #: on at most SAMPLE_BYTES of text.
@@ -39,7 +38,8 @@ DENSE, MOST_DENSE, BATCH = 16, 1024, 64
 #: More than single precision can be off by.
 SLACK = 1e-5
 STEM = 5
-WORD = re.compile(r"[^\W\d_]+")
+#: ``letter_words`` in the JVM: letters and number signs that are no digits.
+WORD = r"[\p{L}\p{Nl}\p{No}]+"
 CACHE_QUERIES = 50_000
 
 
@@ -57,14 +57,14 @@ class Terms:
 
     def of(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """(terms in order, their frequencies) of a text."""
-        found = Counter(WORD.findall(text.lower()))
+        found = Counter(letter_words(text.lower()))
         words = list(found)
-        stems = [w[:STEM] + "*" for w in words if len(w) > STEM]
+        long = [w for w in words if len(w) > STEM]
+        stems = [w[:STEM] + "*" for w in long]
         if self.learning:
             for w in chain(words, stems):
                 self.vocabulary.setdefault(w, len(self.vocabulary))
-        n = np.fromiter(found.values(), np.int64, len(words))
-        n = np.concatenate([n, n[np.fromiter((len(w) > STEM for w in words), bool, len(words))]])
+        n = np.fromiter(chain(found.values(), map(found.__getitem__, long)), np.int64, len(words) + len(long))
         t = np.fromiter(map(self.vocabulary.get, chain(words, stems), repeat(-1)), np.int64, len(n))
         t, at = np.unique(t, return_inverse=True)
         n = np.bincount(at, n, len(t)).astype(np.int64)
@@ -161,14 +161,16 @@ class Index:
         part, x = spans(a, b), np.repeat(w, b - a)
         block = self.block[part]
         bound = np.bincount(block, x * self.best[part], self.blocks) + dense.reshape(self.blocks, BLOCK).max(axis=1)
+        first = np.argsort(-bound, kind="stable")[:FIRST]
         chosen = np.zeros(self.blocks, bool)
-        chosen[np.argsort(-bound, kind="stable")[:FIRST]] = True
+        chosen[first] = True
         cos = dense.astype(np.float64)  # of blocks not chosen it stays below the bound
         use = chosen[block]
         self.add(cos, part[use], x[use])
         if skip >= 0:
             cos[skip] = 0
-        floor = np.partition(cos, len(cos) - k)[len(cos) - k] if len(cos) > k else 0.0
+        best = cos.reshape(self.blocks, BLOCK)[first].ravel()
+        floor = np.partition(best, len(best) - k)[len(best) - k] if len(best) > k else 0.0
         rest = ~chosen & (bound > 0) & (bound >= floor - SLACK)
         if rest.any():
             use = rest[block]
@@ -203,20 +205,21 @@ def calibrate(votes: np.ndarray, y: np.ndarray, mass: np.ndarray) -> tuple[float
     return max(a, 0.05), b
 
 
-def counted(shared):
-    """Document frequencies of the vocabulary, one row per term and batch; term -1 counts the documents."""
+def document_frequencies(texts: DataFrame, vocabulary: dict[str, int]) -> np.ndarray:
+    """Documents of texts(t) that have each term of the sample's vocabulary, counted inside the JVM; the last entry counts all documents.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = Terms(shared.value)
-        for batch in batches:
-            df = np.zeros(len(terms.vocabulary), np.int64)
-            for part in slices(batch):
-                for t in part.column("text").to_pylist():
-                    df[terms.of(t.decode("utf-8", "replace"))[0]] += 1
-            found = np.flatnonzero(df)
-            yield pa.RecordBatch.from_arrays([pa.array(np.append(-1, found)), pa.array(np.append(batch.num_rows, df[found]))], names=["term", "n"])
-
-    return run
+    The vocabulary comes from the bounded sample, so it may be broadcast; other terms leave before anything is gathered.
+    """
+    spark = texts.sparkSession
+    terms = pa.table({"term": list(vocabulary), "number": np.arange(len(vocabulary))})
+    words = F.array_distinct(F.regexp_extract_all(F.lower("t"), F.lit(WORD), F.lit(0)))
+    stems = F.transform(F.filter("w", lambda w: F.length(w) > STEM), lambda w: F.concat(F.substring(w, 1, STEM), F.lit("*")))
+    rows = texts.select(words.alias("w")).select(F.explode(F.concat("w", F.array_distinct(stems))).alias("term"))
+    found = rows.join(F.broadcast(spark.createDataFrame(terms)), "term").groupBy("number").agg(F.count("*").alias("n")).toArrow()
+    df = np.zeros(len(vocabulary) + 1, np.int64)
+    df[found.column("number").to_numpy()] = found.column("n").to_numpy()
+    df[-1] = texts.count()
+    return df
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> dict:
@@ -237,11 +240,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     samples = [(r.id, r.y, tuple(z.astype(np.int32) for z in terms.of(r.t))) for r in rows]
     rows, vocabulary = [], terms.vocabulary
     known = len(vocabulary)
-    shared = spark.sparkContext.broadcast(vocabulary)
-    counts = id_text(docs, id_col, text_col).mapInArrow(counted(shared), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
-    shared.destroy()
-    df = np.zeros(known + 1, np.int64)  # the last counts the documents
-    df[counts.column("term").to_numpy()] = counts.column("n").to_numpy()
+    df = document_frequencies(docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t")), vocabulary)
     with_term = {c: np.zeros(known) for c in (0, 1)}
     for _, y, (t, _) in samples:
         with_term[y][t] += 1

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +22,19 @@ MULT = np.uint64(0x9E3779B97F4A7C15)
 MIX_A, MIX_B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
+LETTERS = re.compile(r"[^\W\d_]+")
+#: For texts within Latin-1: every character that LETTERS doesn't match becomes a space.
+_SPACED = bytes(b if LETTERS.match(chr(b)) else 32 for b in range(256))
+
+
+def letter_words(text: str) -> list[str]:
+    """``LETTERS.findall(text)``, faster for texts within Latin-1."""
+    try:
+        return text.encode("latin-1").translate(_SPACED).decode("latin-1").split()
+    except UnicodeEncodeError:
+        return LETTERS.findall(text)
+
+
 class WordHashes(dict):
     """64-bit hash of a word, remembered."""
 

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 import cases
-from quern.llm import language_id, pieces, secrets, toxicity
+from quern.llm import language_id, pieces, secrets, toxicity, words
 
 SF = "/root/testdata/sf0.01"
 
@@ -56,6 +56,14 @@ def test_long_texts_go_by_segments(monkeypatch):
         assert np.allclose(language_id.posteriors(model, e, texts), want, atol=1e-6)
 
 
+def test_letter_words_are_what_the_pattern_finds(spark):
+    texts = ["", " ", "a", "naïve Café_au lait 12 x2y ²½ ß ÿ", "don't «stop» …", "中文 words\x00z\x85\xa0q", "".join(map(chr, range(1, 700)))]
+    for t in texts:
+        assert words.letter_words(t) == words.LETTERS.findall(t)
+    df = spark.createDataFrame([(t.lower(),) for t in texts[:6]], "t string").selectExpr(f"regexp_extract_all(t, r'{toxicity.WORD}', 0) AS w")
+    assert [r.w for r in df.collect()] == [words.letter_words(t.lower()) for t in texts[:6]]
+
+
 def test_every_language_is_learned():
     """Beyond 64 languages, and words that come late in a text, are learned too."""
     rng = np.random.default_rng(3)
@@ -74,7 +82,7 @@ def test_code_switched_words_get_their_own_language(spark):
     model = language_id.train(docs)
     long = {r.lang: r.text for r in docs.where("length(text) > 800").collect()}
     a, b = sorted(long)[:2]
-    w = [language_id.WORD.findall(long[x])[:30] for x in (a, b)]
+    w = [words.letter_words(long[x])[:30] for x in (a, b)]
     labels = [x[1] for x in language_id.label_words(model, w[0] + w[1])]
     assert sum(x == a for x in labels[:30]) >= 27 and sum(x == b for x in labels[30:]) >= 27
 
