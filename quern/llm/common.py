@@ -1,47 +1,44 @@
-"""Shared plumbing of the training-data operators: shared storage, components."""
+"""Shared plumbing of the training-data operators: samples, bit filters, components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections import Counter
 from itertools import chain
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..storage import remove, shared_dir, stage  # noqa: F401 (operators import all shared plumbing from here)
+
 SPACE = r"[ \t-\r]"  # the six separators of the contracts: \x20 and \x09-\x0D
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder under ``spark.checkpoint.dir``, which every node can reach.
+def bit_rows(keys: DataFrame, key: str, power: int) -> DataFrame:
+    """(bucket, bits): a bit set for each key's slot of 2**power, in rows of 4 KB. Slots move, partial rows do not."""
+    slot = F.col(key).bitwiseAND(F.lit((1 << power) - 1))
+    at = keys.select(F.shiftright(slot, 15).alias("bucket"), (slot % 32768).alias("at"))
+    return at.repartition("bucket").groupBy("bucket").agg(F.bitmap_construct_agg("at").alias("bits"))
 
-    Only where that setting is absent (tests, a laptop) is a folder of our own
-    chosen, and then recorded in the session so that later calls share it.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="quern-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
+def probed(rows: DataFrame, key: str, bits: DataFrame, power: int) -> DataFrame:
+    """The rows whose key's slot is set in ``bits``, which is to be marked for broadcast where that is due."""
+    slot = F.col(key).bitwiseAND(F.lit((1 << power) - 1))
+    at = (slot % 32768).cast("int")
+    found = rows.withColumn("bucket", F.shiftright(slot, 15)).join(bits, "bucket")
+    byte = F.conv(F.hex(F.substring("bits", 1, 4096).substr((F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+    return found.where(F.getbit(byte, (at % 8).cast("int")) == 1).drop("bucket", "bits")
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write ``df`` to the shared folder and read it back.
 
-    A lost executor then costs a re-read, never a recomputation of the plan above.
-    """
-    path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def joined_by_size(rows: DataFrame, table: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
+    """``rows`` left-joined with ``table``, one row a key, ``size`` of whose keys' rows it has, of ``total`` rows in all.
 
-
-def drop_dir(spark: SparkSession, path: str) -> None:
-    """Remove a folder of ``shared_dir`` that no later read needs."""
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    Keys with more than a 1,024th of all rows, thus fewer than 1,024 keys, are broadcast, so no task gets the rows of a hot one.
+    """
+    most = total // 1024
+    hot = F.broadcast(table.where(F.col(size) > most))
+    others = rows.join(hot.select(*keys), keys, "left_anti").join(table.where(F.col(size) <= most), keys, "left")
+    return rows.join(hot, keys).unionByName(others)
 
 
 def least_hashed(rows: DataFrame, limits: dict, counts: dict, most_bytes: int) -> list[tuple]:
@@ -92,7 +89,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         paths.append(shared_dir(spark, "cc"))
         df.write.parquet(paths[-1])
         while len(paths) > 2:
-            drop_dir(spark, paths.pop(0))
+            remove(spark, paths.pop(0))
         return spark.read.schema("a long, b long").parquet(paths[-1])
 
     e = put(e)

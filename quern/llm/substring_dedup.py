@@ -11,10 +11,13 @@ windows. Equal windows have equal minimisers, so they meet in one bucket.
    further occurrences in the task are repeats by themselves and go out as intervals only,
    so a passage in a third of all documents costs one string per task.
    Minimisers with very many occurrences (a common line in differing surroundings) are
-   split into single windows, each with a bucket of its own.
+   split into single windows, each with a bucket of its own; a second bit filter names them, so
+   no bucket grows with the table, and what it names by chance is split for nothing.
 3. A bucket, read in key order, sorts its windows with their places: the first of a run of
    equal windows stays, the others become intervals of removed words.
 4. Intervals meet their document by one join; nothing else moves the texts.
+
+A document is told apart by id and hash of its text, so intervals never meet another row's text.
 """
 
 from __future__ import annotations
@@ -28,19 +31,21 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import bit_rows, stage
 from .words import WordHashes, grams, id_text, public_id, slices
 
 WINDOW, GRAM = 20, 8
 #: Bits of the filter of repeated minimisers: 8 for each, between these powers of two (16 MB at most).
 FILTER_BITS = (15, 27)
-#: A minimiser with more occurrences than this, or than a 2**18th of all, is split by window.
+#: A minimiser with more occurrences than this is split by window.
 HOT = 2000
 #: Packed strings a task remembers, in bytes, before it starts afresh (results don't depend on it).
 SEEN_BYTES = 64 << 20
 
-RUNS = pa.schema([("key", pa.int64()), ("packed", pa.binary()), ("doc", pa.int64()), ("start", pa.int32()), ("n", pa.int32())])
-GONE = pa.schema([("doc", pa.int64()), ("start", pa.int32()), ("n", pa.int32())])
+RUNS = pa.schema([("key", pa.int64()), ("packed", pa.binary()), ("doc", pa.int64()), ("h", pa.int64()), ("start", pa.int32()), ("n", pa.int32())])
+GONE = pa.schema([("doc", pa.int64()), ("h", pa.int64()), ("start", pa.int32()), ("n", pa.int32())])
+RUN_COLUMNS = "key long, packed binary, doc long, h long, start int, n int"
+GONE_COLUMNS = "doc long, h long, start int, n int"
 
 
 def super_kmers(h: np.ndarray, lengths: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -69,139 +74,168 @@ def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], names=["key", "n"])
 
 
-def sent(bits, power: int, hot):
-    """Pass 2: RUNS of one task whose rows come in order of doc; rows without ``packed`` are intervals of removed words."""
+def bit_filter(keys: DataFrame, size: int, each: int) -> tuple[bytes, int]:
+    """A bit per slot of keys(key), ``each`` bits for each of ``size`` keys within FILTER_BITS, and the number of bits' power.
+
+    It comes to the driver in rows of 4 KB; its size is bounded whatever the input.
+    """
+    power = max(FILTER_BITS[0], min(FILTER_BITS[1], (each * max(1, size)).bit_length()))
+    bits = np.zeros(1 << (power - 3), np.uint8)
+    for b, x in bit_rows(keys, "key", power).toLocalIterator():
+        bits[b * 4096 : (b + 1) * 4096] = np.frombuffer(bytes(x), np.uint8)
+    return bits.tobytes(), power
+
+
+def is_set(bits: np.ndarray, power: int, keys: np.ndarray) -> np.ndarray:
+    slot = keys & np.uint64((1 << power) - 1)
+    return (bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+class Sender:
+    """What one task sends: RUNS of rows that come in order of (doc, h); rows without ``packed`` are intervals of removed words."""
+
+    def __init__(self) -> None:
+        self.seen: dict[bytes, tuple[int, int, int]] = {}  # packed string: its first place
+        self.held = 0
+        self.out: tuple[list, ...] = ([], [], [], [], [], [])
+        self.last: tuple | None = None  # an interval of removed words that may still grow: doc, h, start, end
+
+    def put(self, *row) -> None:
+        for c, x in zip(self.out, row, strict=True):
+            c.append(x)
+
+    def gone(self, doc: int, h: int, a: int, b: int) -> None:
+        last = self.last
+        if last and last[:2] == (doc, h) and a <= last[3]:
+            self.last = (doc, h, last[2], max(b, last[3]))
+            return
+        self.end_interval()
+        self.last = (doc, h, a, b)
+
+    def end_interval(self) -> None:
+        if self.last:
+            doc, h, a, b = self.last
+            self.put(xxhash.xxh64_intdigest(b"%d %d %d" % (doc, h, a)) - (1 << 63), None, doc, h, a, b - a)
+        self.last = None
+
+    def offer(self, key: int | None, words: list[bytes], at: int, doc: int, h: int, a: int, n: int) -> None:
+        """``n`` windows at ``words[at:]``, which begin at word ``a`` of their document. Without a key the string gives it."""
+        packed = b" ".join(words[at : at + n + WINDOW - 1])
+        was, here = self.seen.get(packed), (doc, h, a)
+        if was is None or was > here:
+            self.seen[packed] = here
+            self.held += len(packed) + 150
+            self.put(xxhash.xxh64_intdigest(packed) - (1 << 63) if key is None else key, packed, doc, h, a, n)
+        elif was < here:
+            self.gone(doc, h, a, a + n + WINDOW - 1)
+
+    def batch(self) -> pa.RecordBatch:
+        self.end_interval()
+        made = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(self.out, RUNS, strict=True)], schema=RUNS)
+        self.out = ([], [], [], [], [], [])
+        if self.held > SEEN_BYTES:
+            self.seen, self.held = {}, 0
+        return made
+
+
+def sent(repeated, repeated_power: int, hot, hot_power: int):
+    """Pass 2, over rows in order of (doc, h)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filled, many = np.frombuffer(bits.value, np.uint8), np.frombuffer(hot.value, np.int64)
-        hashes, seen, held = WordHashes(), {}, 0
+        twice, often = np.frombuffer(repeated.value, np.uint8), np.frombuffer(hot.value, np.uint8)
+        hashes, sender = WordHashes(), Sender()
         for batch in batches:
             for part in slices(batch):
                 words = [t.split() for t in part.column("text").to_pylist()]
-                docs = part.column("doc").to_pylist()
+                docs, own = part.column("doc").to_pylist(), part.column("h").to_pylist()
                 flat = [w for x in words for w in x]
                 lengths = np.fromiter(map(len, words), np.int64, len(words))
                 begin = np.cumsum(lengths) - lengths
                 first, count, key = super_kmers(hashes.of(flat), lengths)
-                slot = key & np.uint64((1 << power) - 1)
-                keep = (filled[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
-                first, count, key = first[keep], count[keep], key[keep].view(np.int64)
+                keep = is_set(twice, repeated_power, key)
+                first, count, key = first[keep], count[keep], key[keep]
                 owner = np.searchsorted(begin, first, "right") - 1
-                split = np.isin(key, many)
-                out: tuple[list, ...] = ([], [], [], [], [])
-                last = (None, 0, 0)  # an interval of removed words that may still grow: doc, start, end
-
-                def gone(doc: int, a: int, b: int) -> None:
-                    nonlocal last
-                    if last[0] == doc and a <= last[2]:
-                        last = (doc, last[1], max(b, last[2]))
-                        return
-                    flush()
-                    last = (doc, a, b)
-
-                def flush() -> None:
-                    nonlocal last
-                    if last[0] is not None:
-                        put(xxhash.xxh64_intdigest(b"%d %d" % last[:2]) - (1 << 63), None, last[0], last[1], last[2] - last[1])
-                    last = (None, 0, 0)
-
-                def put(*row) -> None:
-                    for c, x in zip(out, row, strict=True):
-                        c.append(x)
-
-                def offer(k: int | None, doc: int, a: int, at: int, n: int) -> None:
-                    nonlocal held
-                    packed = b" ".join(flat[at : at + n + WINDOW - 1])
-                    was = seen.get(packed)
-                    if was is None or was > (doc, a):
-                        seen[packed] = (doc, a)
-                        held += len(packed) + 150
-                        put(xxhash.xxh64_intdigest(packed) - (1 << 63) if k is None else k, packed, doc, a, n)
-                    elif was < (doc, a):
-                        gone(doc, a, a + n + WINDOW - 1)
-
-                for at, n, k, o, s in zip(first.tolist(), count.tolist(), key.tolist(), owner.tolist(), split.tolist(), strict=True):
-                    doc, a = docs[o], at - int(begin[o])
+                split = is_set(often, hot_power, key)
+                for at, n, k, o, s in zip(first.tolist(), count.tolist(), key.view(np.int64).tolist(), owner.tolist(), split.tolist(), strict=True):
+                    a = at - int(begin[o])
                     if s:
                         for j in range(n):
-                            offer(None, doc, a + j, at + j, 1)
+                            sender.offer(None, flat, at + j, docs[o], own[o], a + j, 1)
                     else:
-                        offer(k, doc, a, at, n)
-                flush()
-                if held > SEEN_BYTES:
-                    seen, held = {}, 0
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, RUNS, strict=True)], schema=RUNS)
+                        sender.offer(k, flat, at, docs[o], own[o], a, n)
+                yield sender.batch()
 
     return run
 
 
-def bucket(rows: list[tuple[bytes, int, int, int]]) -> Iterator[tuple[int, int, int]]:
-    """Removed intervals (doc, start, words) of one bucket's super-k-mers (packed, doc, start, windows)."""
+def bucket(rows: list[tuple[bytes, int, int, int, int]]) -> Iterator[tuple[int, int, int, int]]:
+    """Removed intervals (doc, h, start, words) of one bucket's super-k-mers (packed, doc, h, start, windows)."""
     rows.sort()
     own = []
     for i, r in enumerate(rows):
         if i and r[0] == rows[i - 1][0]:
-            if r[1:3] != own[-1][1:3]:  # a row that is repeated with its id is one and the same place
-                yield r[1], r[2], r[3] + WINDOW - 1
+            if r[1:4] != own[-1][1:4]:  # a row that is repeated with its id is one and the same place
+                yield r[1], r[2], r[3], r[4] + WINDOW - 1
         else:
             own.append(r)
     if len(own) < 2:
         return
     windows = []
-    for packed, doc, start, n in own:
+    for packed, doc, h, start, n in own:
         if n == 1:
-            windows.append((packed, doc, start))
+            windows.append((packed, doc, h, start))
             continue
         cut = [0, *(i + 1 for i, c in enumerate(packed) if c == 32), len(packed) + 1]
-        windows += [(packed[cut[j] : cut[j + WINDOW] - 1], doc, start + j) for j in range(n)]
+        windows += [(packed[cut[j] : cut[j + WINDOW] - 1], doc, h, start + j) for j in range(n)]
     windows.sort()
     best = None
-    for w, doc, start in windows:
-        if best is None or w != best[0]:
-            best = (w, doc, start)
-        elif (doc, start) > best[1:]:
-            yield doc, start, WINDOW
+    for w in windows:
+        if best is None or w[0] != best[0]:
+            best = w
+        elif w[1:] > best[1:]:
+            yield *w[1:], WINDOW
+
+
+def intervals(rows: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), GONE, strict=True)], schema=GONE)
 
 
 def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come in order of key; one bucket is held at a time."""
     key, rows = None, []
     for batch in batches:
-        out: list[tuple[int, int, int]] = []
-        for k, packed, doc, start, n in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
+        out: list[tuple[int, int, int, int]] = []
+        for k, packed, doc, h, start, n in zip(*(batch.column(c).to_pylist() for c in range(6)), strict=True):
             if packed is None:
-                out.append((doc, start, n))
+                out.append((doc, h, start, n))
                 continue
             if k != key:
                 if len(rows) > 1:
                     out += bucket(rows)
                 key, rows = k, []
-            rows.append((packed, doc, start, n))
+            rows.append((packed, doc, h, start, n))
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), GONE, strict=True)], schema=GONE)
+            yield intervals(out)
     if len(rows) > 1 and (out := list(bucket(rows))):
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), GONE, strict=True)], schema=GONE)
+        yield intervals(out)
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, start, n): intervals of words covered by windows that also start earlier."""
-    spark = docs.sparkSession
-    source = id_text(docs, id_col, text_col)
+    """(doc, h, start, n): intervals of words covered by windows that also start earlier."""
+    sc = docs.sparkSession.sparkContext
+    source = documents(docs, id_col, text_col)
     counts = stage(source.select("text").mapInArrow(counted, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1"), "minimisers")
-    # two counts, a filter of at most 16 MB and at most 2**18 keys come to the driver, whatever the input
-    size, total = counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    power = max(FILTER_BITS[0], min(FILTER_BITS[1], (8 * max(1, size)).bit_length()))
-    slot = F.col("key").bitwiseAND(F.lit((1 << power) - 1))
-    bits = np.zeros(1 << (power - 3), np.uint8)
-    packed = counts.select(F.shiftright(slot, 15).alias("bucket"), (slot % 32768).alias("at")).groupBy("bucket").agg(F.bitmap_construct_agg("at").alias("bits"))
-    for b, x in packed.toLocalIterator():
-        bits[b * 4096 : (b + 1) * 4096] = np.frombuffer(bytes(x), np.uint8)
-    most = max(HOT, total >> 18)
-    hot = np.array([r.key for r in counts.where(F.col("n") > most).select("key").collect()], np.int64)
-    sc = spark.sparkContext
-    run = sent(sc.broadcast(bits.tobytes()), power, sc.broadcast(hot.tobytes()))
-    rows = source.sortWithinPartitions("doc").mapInArrow(run, "key long, packed binary, doc long, start int, n int")
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(buckets, "doc long, start int, n int")
+    size, many = counts.agg(F.count("*"), F.count_if(F.col("n") > HOT)).first()
+    twice, power = bit_filter(counts, size, 8)
+    often, hot_power = bit_filter(counts.where(F.col("n") > HOT), many, 16)
+    run = sent(sc.broadcast(twice), power, sc.broadcast(often), hot_power)
+    rows = source.sortWithinPartitions("doc", "h").mapInArrow(run, RUN_COLUMNS)
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(buckets, GONE_COLUMNS)
+
+
+def documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc, text, h): ``id_text`` and the hash that tells rows of one id apart."""
+    return id_text(docs, id_col, text_col).withColumn("h", F.xxhash64("text"))
 
 
 def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,16 +264,17 @@ def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def with_intervals(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    gone = repeats(docs, id_col, text_col).groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("gone"))
-    return id_text(docs, id_col, text_col).join(gone, "doc", "left")
+    gone = repeats(docs, id_col, text_col).groupBy("doc", "h").agg(F.collect_list(F.struct("start", "n")).alias("gone"))
+    return documents(docs, id_col, text_col).join(gone, ["doc", "h"], "left").select("doc", "text", "gone")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_words, n_removed, text (kept words joined by one space).
 
-    Null texts have no words; texts under 20 words lose none. A null id counts as smaller than
-    all others. doc_id names a document: rows that repeat it with the same text are one document at the
-    same place, so they lose the same words; an empty table gives an empty result; other columns are not read.
+    Null texts have no words; texts under 20 words lose none; very long ones are worked through by slices of whole texts,
+    so one text must fit into a task. A null id counts as smaller than all others. Every row is a document of its own;
+    those of one id, or without one, are ordered by the hash of their text. Only rows that repeat both id and text
+    are one document listed twice: they lose the same words. An empty table gives an empty result; other columns are not read.
     """
     out = with_intervals(docs, id_col, text_col).mapInArrow(trimmed, "doc long, n_words long, n_removed long, kept binary")
     return out.select(public_id(F.col("doc")).alias("doc_id"), "n_words", "n_removed", F.col("kept").cast("string").alias("text"))
