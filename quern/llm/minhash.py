@@ -1,28 +1,29 @@
 """MinHash near-dedup with sequential Bayesian verification.
 
-1. One scan: per document the number of distinct word 5-grams, a 128-bit digest of the
-   set and a signature of 140 min-hashes. Equal sets are one class with one representative.
-2. 28 bands of 5 min-hashes. Band keys seen once are dropped by a count; the rest are
-   buckets, dealt out in cells of at most some thousand members, so any bucket is
-   worked through by many tasks. In a cell all pairs are compared 28 min-hashes at a time; a pair
-   is dropped as soon as its posterior chance of reaching the threshold (uniform prior)
-   falls below ``miss``. A cell emits a spanning forest of its survivors: families.
-3. The texts of family members meet by family, again in cells of bounded bytes. Survivors
-   are confirmed on their full sets (shingles interned exactly, no hashes) unless they are
-   connected already. Confirmed links become components.
+1. One scan: per document the number of distinct word 5-grams, the SHA-256 of its word sequence and a signature of 140
+   min-hashes. Equal sequences are one class with one representative.
+2. 28 bands of 5 min-hashes. Band keys seen once are dropped by a count; the rest are buckets. Every class is first compared
+   with one leader only, the least class of the buckets that it shares with most bands: 28 min-hashes at a time, and dropped
+   as soon as the posterior chance of reaching the threshold (uniform prior) falls below ``miss``. Survivors are confirmed on
+   their full sets (shingles interned exactly, no hashes). A group of copies is settled by that, in proportion to its size.
+3. Buckets that still hold several components are worked through in cells of bounded size, which leave out the pairs within
+   a bucket's largest component. Their survivors, if not of one component, form families, whose texts meet in cells of
+   bounded bytes and are confirmed in the same way. Confirmed links become components.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from math import comb
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, stage
+from .common import bit_rows, connected_components, joined_by_size, probed, stage
 from .words import WordHashes, grams, id_text, mix, public_id, slices
 
 SHINGLE, ROWS, BANDS = 5, 5, 28
@@ -33,7 +34,10 @@ CELL_MEMBERS, CELL_BYTES = 1024, 2 << 20
 _RNG = np.random.default_rng(20240501)
 FACTORS = _RNG.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-SIGNED = "doc long, n long, d1 long, d2 long, sig binary"
+#: Bits of the filter that picks texts to fetch: 16 each, between these powers of two (16 MB at most).
+FILTER_BITS = (15, 27)
+
+SIGNED = "doc long, h long, bytes long, n long, sha binary, sig binary"
 
 
 def least_matches(threshold: float, miss: float = MISS) -> dict[int, int]:
@@ -80,12 +84,10 @@ def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ends = np.cumsum([len(x) for x in words])
             sets = [shingle_hashes(w, h[e - len(w) : e]) for w, e in zip(words, ends, strict=True)]
             sig = signatures(sets)
-            with np.errstate(over="ignore"):
-                d1 = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
-                d2 = np.array([mix(s).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
+            sha = [hashlib.sha256(b" ".join(w)).digest() for w in words]
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc"), pa.array([len(s) for s in sets], pa.int64()), pa.array(d1), pa.array(d2), pa.array([r.tobytes() for r in sig], pa.binary())],
-                names=["doc", "n", "d1", "d2", "sig"],
+                [part.column("doc"), part.column("h"), pc.binary_length(part.column("text")).cast(pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array(sha, pa.binary()), pa.array([r.tobytes() for r in sig], pa.binary())],
+                names=["doc", "h", "bytes", "n", "sha", "sig"],
             )
 
 
@@ -172,15 +174,36 @@ def sides(g: dict[str, list]) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(block == g["lo"][0]), np.flatnonzero(block == g["hi"][0])
 
 
+def joint(left: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(left.to_pylist()), np.uint16).reshape(len(left), HASHES)
+
+
+def pruned(least: dict[int, int]) -> Callable:
+    """Of pairs with both signatures those that no batch of min-hashes rules out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y = joint(batch.column("sig")), joint(batch.column("leader_sig"))
+                alive, m = np.arange(len(x)), np.zeros(len(x), np.int64)
+                for n in range(BATCH, HASHES + 1, BATCH):
+                    m = m + (x[alive, n - BATCH : n] == y[alive, n - BATCH : n]).sum(axis=1)
+                    ok = m >= least[n]
+                    alive, m = alive[ok], m[ok]
+                yield batch.take(pa.array(alive)).select(["member", "leader"])
+
+    return run
+
+
 def families(least: dict[int, int]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in grouped(batches, ["cell", "key", "lo", "hi"]):
             left, right = sides(g)
-            sig = np.frombuffer(b"".join(g["sig"]), np.uint16).reshape(len(g["sig"]), HASHES)
+            sig, comp = np.frombuffer(b"".join(g["sig"]), np.uint16).reshape(len(g["sig"]), HASHES), g["comp"]
             f, a, b = Forest(len(sig)), [], []
             for i, j, _ in survivors(sig, least, left, right):
                 for p, q in zip(i.tolist(), j.tolist(), strict=True):
-                    if f.tie(p, q):
+                    if comp[p] != comp[q] and f.tie(p, q):
                         a.append(g["member"][p])
                         b.append(g["member"][q])
             if a:
@@ -209,6 +232,28 @@ def exact_sets(docs: list[list[bytes]]) -> list[np.ndarray]:
     return out
 
 
+def starred(threshold: tuple[int, int]) -> Callable:
+    """Links of the members of a cell with their leader, confirmed on the full sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in grouped(batches, ["leader", "part"]):
+            text = dict(zip(g["member"], g["text"], strict=True))  # a repeated row comes twice
+            members = list(text)
+            sets = exact_sets([t.lower().split() for t in text.values()])
+            lead = members.index(g["leader"][0])
+            mark = np.zeros(1 + max(int(s[-1]) for s in sets if len(s)), bool)
+            mark[sets[lead]] = True
+            a = []
+            for m, s in zip(members, sets, strict=True):
+                both = int(mark[s].sum())
+                if m != g["leader"][0] and threshold[1] * both >= threshold[0] * (len(sets[lead]) + len(s) - both):
+                    a.append(m)
+            if a:
+                yield links(a, [g["leader"][0]] * len(a))
+
+    return run
+
+
 def confirmed(threshold: tuple[int, int], least: dict[int, int]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -216,7 +261,9 @@ def confirmed(threshold: tuple[int, int], least: dict[int, int]) -> Callable:
             left, right = sides(g)
             words = [t.lower().split() for t in g["text"]]
             sig = signatures([shingle_hashes(w, hashes.of(w)) for w in words])
-            f, a, b = Forest(len(words)), [], []
+            f, a, b, seen = Forest(len(words)), [], [], {}
+            for i, c in enumerate(g["comp"]):  # what is of one component by now needs no link
+                f.tie(seen.setdefault(c, i), i)
             found = list(survivors(sig, least, left, right))
             if not found:
                 continue
@@ -251,39 +298,92 @@ def confirmed(threshold: tuple[int, int], least: dict[int, int]) -> Callable:
     return run
 
 
+def fetched(source: DataFrame, wanted: DataFrame, columns: list[str]) -> DataFrame:
+    """``wanted`` (doc, h, columns) with text: a bounded bit filter keeps most other texts out of the join."""
+    power = max(FILTER_BITS[0], min(FILTER_BITS[1], (16 * max(1, wanted.count())).bit_length()))
+    bits = bit_rows(wanted.select(F.xxhash64("doc", "h").alias("row")), "row", power)
+    texts = probed(source.withColumn("row", F.xxhash64("doc", "h")), "row", F.broadcast(bits), power)
+    return texts.join(wanted, ["doc", "h"]).select(*columns, "text")
+
+
+def star_links(source: DataFrame, classes: DataFrame, hits: DataFrame, threshold: tuple[int, int], least: dict[int, int]) -> DataFrame:
+    """Confirmed links (a, b) of classes with one leader each, of hits(key, member, leader)."""
+    shared = hits.where("member <> leader").groupBy("member", "leader").agg(F.count("*").alias("bands"))
+    pairs = shared.groupBy("member").agg(F.max_by("leader", F.struct("bands", -F.col("leader"))).alias("leader"))
+    both = pairs.join(classes.select("member", "sig"), "member").join(classes.select(F.col("member").alias("leader"), F.col("sig").alias("leader_sig")), "leader")
+    alive = stage(both.mapInArrow(pruned(least), "member long, leader long"), "star-pairs")
+    # the members of a leader are dealt to cells of bounded bytes; the leader goes to each of them
+    place = classes.select("member", "doc", "h", "bytes")
+    sized = alive.join(place, "member")
+    parts = sized.groupBy("leader").agg(F.ceil(F.sum(F.col("bytes") + 1) / CELL_BYTES).alias("parts"))
+    members = sized.join(parts, "leader").withColumn("part", F.pmod(F.xxhash64("member"), F.col("parts")))
+    leaders = parts.join(place.withColumnRenamed("member", "leader"), "leader").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    columns = ["doc", "h", "leader", "member", "part"]
+    wanted = stage(members.select(*columns).unionByName(leaders.withColumn("member", F.col("leader")).select(*columns)), "star-texts")
+    texts = fetched(source, wanted, columns[2:])
+    return texts.repartition("leader", "part").sortWithinPartitions("leader", "part").mapInArrow(starred(threshold), "a long, b long")
+
+
+def open_cells(hits: DataFrame, settled: DataFrame) -> DataFrame:
+    """Cells of the buckets of hits(key, member) with several components of ``settled``: cell, key, lo, hi, block, member, comp.
+
+    Members of a bucket's largest component are not paired with each other.
+    """
+    m = hits.select("key", "member").join(settled, F.col("member") == F.col("node"), "left").select("key", "member", F.coalesce("component", "member").alias("comp"))
+    m = stage(m, "bucket-members")
+    sizes = m.groupBy("key", "comp").agg(F.count("*").alias("n"))
+    sizes = sizes.groupBy("key").agg(F.count("*").alias("comps"), F.max(F.struct("n", "comp")).alias("main"), F.sum("n").alias("size")).where("comps > 1")
+    m = m.join(sizes, "key").withColumn("in_main", F.col("comp") == F.col("main.comp"))
+    mains, others = (F.ceil(n / CELL_MEMBERS) for n in (F.col("main.n"), F.col("size") - F.col("main.n")))
+    # blocks of the others come first, then those of the largest component
+    block = F.pmod(F.xxhash64("member"), F.when(F.col("in_main"), mains).otherwise(others)) + F.when(F.col("in_main"), others).otherwise(0)
+    m = m.withColumn("block", block).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("in_main"), others).otherwise(others + mains) - 1)))
+    m = m.withColumn("lo", F.least("block", "with")).withColumn("hi", F.greatest("block", "with")).withColumn("cell", F.xxhash64("key", "lo", "hi"))
+    return m.select("cell", "key", "lo", "hi", "block", "member", "comp")
+
+
 def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text", miss: float = MISS) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept.
 
     Two documents are linked when ``threshold[1] * intersection >= threshold[0] * union`` of their 5-word shingle
     sets; component_id is the least id reachable. Null or wordless texts have empty sets and link
-    with nothing. A null id counts as the least id. Rows that repeat an id with the same text share their
-    component; an empty table gives an empty result; other columns are not read.
+    with nothing; very long texts are compared whole, so one text must fit into a task. A null id counts as the least id, but rows
+    without an id, or of one id, are documents of their own: they share a component only through their texts. Of equal similarities
+    none is preferred. An empty table gives an empty result; other columns are not read.
     """
-    source = id_text(docs, id_col, text_col)
+    source = id_text(docs, id_col, text_col).withColumn("h", F.xxhash64("text"))
     s = stage(source.mapInArrow(signed, SIGNED), "signatures")
     least = least_matches(threshold[0] / threshold[1], miss)
-    reps = s.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc").alias("member"), F.count("*").alias("copies"), F.first("sig").alias("sig"))
-    reps = stage(reps, "classes")
+    classes = s.where("n > 0").groupBy("sha").agg(F.min(F.struct("doc", "h", "bytes")).alias("first"), F.count("*").alias("copies"), F.first("sig").alias("sig"))
+    classes = stage(classes.select(F.monotonically_increasing_id().alias("member"), "sha", "first.*", "copies", "sig"), "classes")
 
     step = 2 * ROWS
     band = [F.xxhash64(F.lit(b), F.substring("sig", 1 + step * b, step)) for b in range(BANDS)]
-    keys = reps.select("member", F.explode(F.array(*band)).alias("key"))
-    shared = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    hits = keys.join(shared, "key").join(reps.select("member", "sig"), "member")
-    dealt = cells(hits, "key", F.ceil(F.col("size") / CELL_MEMBERS)).select("cell", "key", "lo", "hi", "block", "member", "sig")
+    keys = classes.select("member", F.explode(F.array(*band)).alias("key"))
+    shared = keys.groupBy("key").agg(F.count("*").alias("size"), F.min("member").alias("leader")).where("size > 1")
+    hits = stage(keys.join(shared, "key").select("key", "member", "leader"), "hits")
+    stars = stage(star_links(source, classes, hits, threshold, least), "star-links")
+    settled = stage(connected_components(stars), "settled")
+
+    dealt = open_cells(hits, settled).join(classes.select("member", "sig"), "member")
+    dealt = dealt.select("cell", "key", "lo", "hi", "block", "member", "comp", "sig")
     forest = dealt.repartition("cell").sortWithinPartitions("cell", "key", "lo", "hi").mapInArrow(families(least), "a long, b long")
-    family = stage(connected_components(forest).select(F.col("node").alias("member"), F.col("component").alias("key")), "families")
-
-    texts = source.join(family, F.col("doc") == F.col("member"), "inner").select("key", "member", "text").dropDuplicates(["member"])
-    sizes = source.select("doc", F.length("text").cast("long").alias("bytes")).join(family, F.col("doc") == F.col("member")).groupBy("key").agg(F.sum("bytes").alias("bytes"))
-    dealt = cells(texts.join(sizes, "key"), "key", F.ceil(F.greatest(F.col("bytes"), F.lit(1)) / CELL_BYTES)).select("cell", "key", "lo", "hi", "block", "member", "text")
+    family = connected_components(forest).select(F.col("node").alias("member"), F.col("component").alias("key"))
+    family = family.join(settled, F.col("member") == F.col("node"), "left").select("key", "member", F.coalesce("component", "member").alias("comp"))
+    family = stage(family.join(classes.select("member", "doc", "h", "bytes"), "member"), "families")
+    sizes = family.groupBy("key").agg(F.sum(F.col("bytes") + 1).alias("total"))
+    dealt = cells(family.join(sizes, "key"), "key", F.ceil(F.col("total") / CELL_BYTES)).select("cell", "key", "lo", "hi", "block", "member", "comp", "doc", "h")
+    dealt = fetched(source, stage(dealt, "family-cells"), ["cell", "key", "lo", "hi", "block", "member", "comp"])
     checked = dealt.repartition("cell").sortWithinPartitions("cell", "key", "lo", "hi").mapInArrow(confirmed(threshold, least), "a long, b long")
-    component = connected_components(checked)
-
-    # back to all documents: by class where a class has several, and by component
-    copies = reps.where("copies > 1").select("d1", "d2", "n", F.col("member").alias("first"))
-    rows = s.select("doc", "n", "d1", "d2").join(copies, ["d1", "d2", "n"], "left").withColumn("member", F.coalesce("first", "doc"))
-    rows = rows.join(component, F.col("member") == F.col("node"), "left").withColumn("c", F.coalesce("component", "member"))
+    component = connected_components(stars.unionByName(checked))
+
+    # back to all documents: least id by component, component by class, class by the sequence's digest
+    own = classes.join(component, F.col("member") == F.col("node"), "left").select("sha", "copies", "doc", F.coalesce("component", "member").alias("component"))
+    own = stage(own, "class-components")
+    label = own.groupBy("component").agg(F.min("doc").alias("c"), F.count("*").alias("size"))
+    own = joined_by_size(own, label, ["component"], "size", own.count()).select("sha", "copies", "c")
+    full, empty = s.where("n > 0").select("doc", "n", "sha"), s.where("n = 0").select("doc", "n", F.col("doc").alias("c"))
+    rows = joined_by_size(full, stage(own, "class-labels"), ["sha"], "copies", s.count()).select("doc", "n", "c").unionByName(empty)
     return rows.select(public_id(F.col("doc")).alias("doc_id"), F.col("n").alias("n_shingles"), public_id(F.col("c")).alias("component_id"), (F.col("doc") == F.col("c")).alias("kept"))
 
 
