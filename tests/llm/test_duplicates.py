@@ -50,6 +50,29 @@ def test_substring_dedup_edges(spark):
     assert [r.n_removed for r in again] == [0, 0]
 
 
+@pytest.mark.parametrize("hot", [2000, 1])
+def test_substring_dedup_goes_by_row(spark, monkeypatch, hot):
+    """Several rows without an id, and rows of one id with different texts, are documents of their own."""
+    monkeypatch.setattr(substring_dedup, "HOT", hot)
+    rng = random.Random(11)
+    shared = [cases.words(rng, 40, 10**6) for _ in range(3)]
+    rows = []
+    for i in (None, None, None, 7, 7, 3, 9):
+        w = cases.words(rng, 60, 10**6)
+        for s in rng.sample(shared, 2):
+            at = rng.randrange(len(w))
+            w = w[:at] + s + w[at:]
+        rows.append((i, " ".join(w), "", "", 1))
+    h = {r.text: r.h for r in cases.frame(spark, rows).selectExpr("text", "xxhash64(CAST(text AS BINARY)) AS h").collect()}
+    ordered = sorted(rows, key=lambda r: (-1 if r[0] is None else r[0], h[r[1]]))
+    want = kept_words([(k, r[1]) for k, r in enumerate(ordered)])
+    got = {r.text: (r.doc_id, r.n_removed) for r in substring_dedup.remove_repeats(cases.frame(spark, rows)).collect()}
+    for k, (w, gone) in want.items():
+        kept = b" ".join(x for j, x in enumerate(w) if j not in gone).decode()
+        assert got[kept] == (ordered[k][0], len(gone))
+    assert sum(n for _, n in got.values()) == sum(len(g) for _, g in want.values()) >= 7 * 40
+
+
 def shingles(t):
     w = (t or "").encode().lower().split()
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
