@@ -1,10 +1,11 @@
 """Sharding, exact dedup, mixing: against SQL, and their edge cases."""
 
 import pytest
+from pyspark.sql import functions as F
 
 import cases
 from quern.llm import exact_dedup, mixing, sharding
-from quern.llm.common import connected_components, shared_dir
+from quern.llm.common import connected_components
 
 
 def test_exact_dedup_equals_sql(spark, tmp_path):
@@ -21,51 +22,105 @@ def test_exact_dedup_edges(spark):
     assert got == {(None, None, 2, True), (3, None, 2, False), (None, 4, 2, False), (4, 4, 2, True), (7, 7, 2, True)}
 
 
-def test_runs_are_sorted_and_filtered(spark):
-    level0 = exact_dedup.flush(cases.frame(spark))
-    assert level0.count() == len(cases.documents())
-    for f in {r.f for r in level0.select("_metadata.file_path").toDF("f").collect()}:
-        d = [r.digest for r in spark.read.parquet(f).collect()]
-        assert d == sorted(d)
-
-
-def test_sharding_equals_sql(spark, tmp_path):
-    rows = cases.documents() + [(100000 + i, "tail " * i, "en", "s", 1) for i in range(5)]
-    docs = cases.frame(spark, rows)
-    level1, manifest = sharding.size_tiered(docs)
-    got = level1.join(manifest, "shard_id").selectExpr("doc_id", "arrival", "tier", "shard_id", "shard_rows", "shard_bytes", "version AS manifest_version", "sha2(coalesce(text, ''), 256) AS text_sha256")
-    assert cases.rows_of(got) == cases.sql(sharding.OP1_SQL, tmp_path, documents=(rows, cases.DOCUMENTS))
-    assert cases.rows_of(level1.select("doc_id", "text", "lang", "source")) == cases.rows_of(docs.select("doc_id", "text", "lang", "source"))
-
-
-def test_sharding_splits_and_packs_to_the_target(spark):
-    rows = [(i * 512, "x" * 1000, "en", "s", 1) for i in range(40)] + [(900 * 512 + i, f"{i:04}" * 750, "en", "s", 1) for i in range(20)]
-    level1, manifest = sharding.size_tiered(cases.frame(spark, rows), target_bytes=8000)
-    m = manifest.collect()
-    assert sum(r.shard_rows for r in m) == 60 and len(m) > 6
-    assert max(r.shard_bytes for r in m if not r.shard_id.split("-")[3].startswith("a")) <= 8000 + 1000
-
-
-def test_commit_is_once_and_whole(spark):
-    root = shared_dir(spark, "commit")
-    docs = cases.frame(spark)
-    level0 = sharding.append(docs, root)
-    planned = sharding.plan(level0, root)
-    level1 = sharding.merge(level0, planned, root)
-    with pytest.raises(RuntimeError, match="planned"):
-        sharding.commit(level1.where("doc_id > 3"), planned, root, 1)
-    assert sharding.commit(level1, planned, root, 1).count() > 0
+def test_runs_are_sorted_and_filters_miss_none(spark):
+    index = exact_dedup.MergeIndex(spark)
+    index.add(cases.frame(spark))
+    assert index.rows().count() == len(cases.documents()) and len(index.manifest["runs"]) == 1
+    run = index.manifest["runs"][0]
+    for path in (*index.manifest["rows"], f"{run['path']}/entries"):
+        files = spark.read.parquet(path)
+        for f in {r.f for r in files.select("_metadata.file_path").toDF("f").collect()}:
+            d = [r.digest for r in spark.read.parquet(f).collect()]
+            assert d == sorted(d)
+    own = index.run(run)
+    assert index.probe(own, run).count() == own.count() == run["entries"]
+    other = own.withColumn("digest", own.digest + 1).select("digest", "sha")
+    assert index.probe(other, run).count() == 0
+
+
+@pytest.mark.parametrize("fanout", [2, 4])
+def test_exact_dedup_by_arrivals(spark, tmp_path, monkeypatch, fanout):
+    """Batch after batch, also under a reopened index, gives what one load gives; full tiers are merged."""
+    monkeypatch.setattr(exact_dedup, "FANOUT", fanout)
+    rows = cases.documents() + [(200 + i, f"late {i % 4}", "en", "s", 1) for i in range(30)]
+    want = cases.rows_of(exact_dedup.exact_dedup(cases.frame(spark, rows)))
+    root = f"file://{tmp_path}/index"
+    for k in range(5):
+        exact_dedup.MergeIndex(spark, root).add(cases.frame(spark, rows[k::5]))
+    index = exact_dedup.MergeIndex(spark, root)
+    assert cases.rows_of(index.verdicts(cases.frame(spark, rows))) == want
+    tiers = sorted(r["tier"] for r in index.manifest["runs"])
+    assert tiers == ([1, 3] if fanout == 2 else [1, 2]) and sum(r["rows"] for r in index.manifest["runs"]) == len(rows)
+
+
+def sharded(shards):
+    return cases.rows_of(shards.read()), {r.file: r for r in shards.manifest().collect()}
+
+
+def test_sharding_query_equals_sql(spark, tmp_path):
+    rows = cases.documents()
+    cases.frame(spark, rows).write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = cases.rows_of(sharding.op1_sharding(spark, f"file://{tmp_path}"))
+    assert got == cases.sql(sharding.OP1_SQL, tmp_path / "documents.parquet", documents=(rows, cases.DOCUMENTS))
+
+
+def test_appends_are_compacted_with_earlier_shards(spark):
+    """Versions follow each other; small shards of several batches become few, of the target's size; old versions stay readable."""
+    shards = sharding.Shards(spark, target_bytes=6000)
+    rows, seen = [], []
+    for k in range(6):
+        batch = [(hash((k, i)) % (1 << 60), f"{k:02}{i:03}" * 20, "en", "s", 1) for i in range(10)]
+        rows += batch
+        shards.append(cases.frame(spark, batch, parts=2))
+        seen.append((shards.version(), len(rows)))
+        assert shards.compact().first().version == shards.version()
+    got, live = sharded(shards)
+    assert got == cases.rows_of(cases.frame(spark, rows))
+    assert shards.version() > 6 and len(live) < 12 and max(r.bytes for r in live.values()) <= 6000 + 1000
+    assert [shards.read(v).count() for v, _ in seen] == [n for _, n in seen]
+    assert shards.expire() > 0 and sharded(shards)[0] == got
+
+
+def test_sharding_needs_no_dense_ids(spark):
+    rows = [(hash(("id", i)) % (1 << 62), f"text {i}", "en", "s", 1) for i in range(300)]
+    shards = sharding.size_tiered(cases.frame(spark, rows, parts=8))
+    assert [r.rows for r in shards.manifest().collect()] == [300] and shards.version() == 2
+
+
+def test_sharding_splits_a_shard_over_the_target(spark):
+    rows = [(i, f"{i:04}" * 750, "en", "s", 1) for i in range(40)]
+    shards = sharding.size_tiered(cases.frame(spark, rows, parts=1), target_bytes=30000)
+    live = shards.manifest().collect()
+    assert sum(r.rows for r in live) == 40 and len(live) == 4 and cases.rows_of(shards.read()) == cases.rows_of(cases.frame(spark, rows))
+
+
+def test_commit_is_once_and_whole(spark, monkeypatch):
+    shards = sharding.Shards(spark, target_bytes=5000)
+    shards.append(cases.frame(spark, parts=8))
     with pytest.raises(Exception, match="exist"):
-        sharding.commit(level1, planned, root, 1)
+        shards.commit(shards.manifest(), 1)
+    stored = sharding.Shards.stored
+    monkeypatch.setattr(sharding.Shards, "stored", lambda self, files: stored(self, files).where("doc_id <> 3"))
+    with pytest.raises(RuntimeError, match="planned"):
+        shards.compact()
+    assert shards.version() == 1
+    # texts of two rows swapped: rows and bytes agree, the stored hashes do not
+    swapped = lambda self, files: stored(self, files).withColumn("text", F.reverse("text"))
+    monkeypatch.setattr(sharding.Shards, "stored", swapped)
+    with pytest.raises(Exception, match="differs"):
+        shards.compact()
+    assert shards.version() == 1
 
 
 def test_sharding_edges(spark):
-    level1, manifest = sharding.size_tiered(cases.frame(spark, []))
-    assert level1.count() == 0 and manifest.count() == 0
-    rows = [(None, None, None, None, None), (None, "a", "", "", 1), (1, "", "", "", 0), (1, "", "", "", 0)]
-    level1, manifest = sharding.size_tiered(cases.frame(spark, rows, clash=True))
-    assert level1.count() == 4 and sum(r.shard_rows for r in manifest.collect()) == 4
-    assert {r.arrival for r in level1.collect()} == {-1, 0}
+    shards = sharding.size_tiered(cases.frame(spark, []))
+    assert shards.read().count() == 0 and shards.manifest().count() == 0
+    rows = [(None, None, None, None, None), (None, "a", "", "", 1), (1, "", "", "", 0), (1, "", "", "", 0), (2, "long " * 100000, "", "", 1)]
+    docs = cases.frame(spark, rows, clash=True).withColumn("row_hash", F.lit(1)).withColumn("text_bytes", F.lit(1)).withColumn("pack", F.lit("x"))
+    shards = sharding.size_tiered(docs)
+    assert cases.rows_of(shards.read()) == cases.rows_of(docs.drop("row_hash", "text_bytes"))
+    with pytest.raises(ValueError, match="columns"):
+        shards.append(cases.frame(spark))
 
 
 def test_mixing_equals_sql(spark, tmp_path):
@@ -106,8 +161,6 @@ def test_components(spark):
 
 
 def test_least_hashed(spark):
-    from pyspark.sql import functions as F
-
     from quern.llm.common import least_hashed
 
     rows = [(i, "a") for i in range(5000)] + [(i, "b") for i in range(7)] + [(i % 3, "c") for i in range(4000)]
