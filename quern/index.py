@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass, replace
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -144,19 +144,22 @@ def top_terms(frequencies: DataFrame, most: int) -> DataFrame:
     return number_rows(best, "termid", F.desc("df"), F.asc("term")).select("termid", "term", "df")
 
 
-def assemble(docs: DataFrame, counts: DataFrame, vocabulary: DataFrame, stopwords: list[str], index_type: str, stemmer: str, tokenizer: str) -> Index:
-    """The index of ``counts(docid, term, tf)`` over ``vocabulary(termid, term, df)``."""
+def assemble(
+    docs: DataFrame, counts: DataFrame, vocabulary: DataFrame, stopwords: list[str], index_type: str, stemmer: str, tokenizer: str, fields: tuple[str, ...] = ("content",)
+) -> Index:
+    """The index of ``counts(docid, term, tf [, fieldid])`` over ``vocabulary(termid, term, df)``."""
     spark = docs.sparkSession
-    postings = counts.join(vocabulary.select("termid", "term"), "term").select("termid", "docid", F.lit(0).cast("long").alias("fieldid"), "tf")
+    field = F.col("fieldid") if "fieldid" in counts.columns else F.lit(0).cast("long").alias("fieldid")
+    postings = counts.join(vocabulary.select("termid", "term"), "term").select("termid", "docid", field, "tf")
     lengths = postings.groupBy("docid").agg(F.sum("tf").alias("len"))
     docs = docs.select("docid", "name").join(lengths, "docid", "left").withColumn("len", F.coalesce("len", F.lit(0)))
     sizes = docs.agg(F.count("*").alias("num_docs"), F.avg("len").alias("avgdl"))
     stats = sizes.join(vocabulary.agg(F.coalesce(F.sum("df"), F.lit(0)).alias("sumdf"))).withColumns(
         {"index_type": F.lit(index_type), "stemmer": F.lit(stemmer), "tokenizer": F.lit(tokenizer)}
     )
-    fields = spark.createDataFrame([(0, "content")], "fieldid long, field string")
+    named = spark.createDataFrame(list(enumerate(fields)), "fieldid long, field string")
     stop = spark.createDataFrame([(w,) for w in stopwords], "sw string")
-    return Index(docs, vocabulary.select("termid", "term", "df"), postings, fields, stop, stats)
+    return Index(docs, vocabulary.select("termid", "term", "df"), postings, named, stop, stats)
 
 
 def build_index(
@@ -186,3 +189,18 @@ def build_index(
         vocabulary = number_rows(document_frequencies(counts), "termid", "term")
     tokenizer = "regex" if mode == "standard" else "longest"
     return assemble(docs, counts, vocabulary, stop, "standard" if mode == "standard" else mode, stemmer, tokenizer)
+
+
+def build_fielded_index(corpus: DataFrame, fields: tuple[str, ...], stemmer: str = "none", stopwords="none") -> Index:
+    """A ``standard`` index of several text columns of corpus(did, fields): searches may be limited to some of them.
+
+    A document's length and a term's df count all fields together.
+    """
+    stop = stop_words(corpus.sparkSession, stopwords)
+    rows = corpus.select(F.col("did").cast("string").alias("name"), *(F.coalesce(F.col(f).cast("string"), F.lit("")).alias(f) for f in fields))
+    docs = stage(number_rows(rows.where("name IS NOT NULL"), "docid", "name"), "fielded-docs")
+    parts = [regex_counts(docs.select("docid", F.col(f).alias("content")), stop, stemmer).withColumn("fieldid", F.lit(i).cast("long")) for i, f in enumerate(fields)]
+    counts = stage(reduce(DataFrame.unionByName, parts), "fielded-counts")
+    per_document = counts.select("docid", "term").distinct()
+    vocabulary = number_rows(document_frequencies(per_document), "termid", "term")
+    return assemble(docs, counts, vocabulary, stop, "standard", stemmer, "regex", fields)

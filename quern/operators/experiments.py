@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.prob import sign_test_p
+from ..index import Index, build_index
+from ..sources import readers, writers
+from . import evaluate, rank
 
 CONFIG = ("mode", "stopwords", "min_freq", "min_pmi")
 #: Up to so many needles every text is tested against all; beyond, texts and needles meet by their first letters.
@@ -31,7 +36,8 @@ def parse_evaluations(lines: DataFrame) -> DataFrame:
     """(path, query, mode, stopwords, min_freq, min_pmi, metric, value) of lines(path, value).
 
     Lines are ``metric all value`` or ``Name: value``. The file's name holds the configuration between
-    underscores; a folder of digits above it is the query, else it is ``all``. Missing parts are ``unknown``.
+    underscores; a folder of digits above it is the query, else it is ``all``. Missing parts are ``unknown``. Of files that Spark
+    wrote (part-...) the folder counts as the name; ``column=`` before a name is left out.
     """
     table = r"^(\S+)\s+all\s+(-?[0-9.eE+-]+)\s*$"
     named = r"^([^:]+):\s*(-?[0-9.eE+-]+)\s*$"
@@ -39,7 +45,7 @@ def parse_evaluations(lines: DataFrame) -> DataFrame:
     is_table = v.rlike(table)
     metric = F.when(is_table, F.regexp_extract(v, table, 1)).otherwise(F.replace(F.lower(F.trim(F.regexp_extract(v, named, 1))), F.lit(" "), F.lit("_")))
     number = F.when(is_table, F.regexp_extract(v, table, 2)).otherwise(F.regexp_extract(v, named, 2)).try_cast("double")
-    steps = F.split("path", "/")
+    steps = F.transform(F.split(F.regexp_replace("path", "/part-[^/]*$", ""), "/"), lambda s: F.regexp_replace(s, "^[a-z_]+=", ""))
     parts = F.split(F.regexp_replace(F.try_element_at(steps, F.lit(-1)), r"\.[^.]*$", ""), "_")
     folder = F.try_element_at(steps, F.lit(-2))
     config = [F.coalesce(F.try_element_at(parts, F.lit(i)), F.lit("unknown")).alias(c) for i, c in zip((2, 3, 5, 6), CONFIG, strict=True)]
@@ -52,6 +58,39 @@ def evaluation_table(parsed: DataFrame) -> DataFrame:
     return parsed.groupBy("query", *CONFIG).pivot("metric").agg(F.first("value"))
 
 
+def batch_search(indexes: dict[str, Index], query_sets: dict[str, DataFrame], models: tuple[str, ...] = ("lm",), limit: int = 1000) -> DataFrame:
+    """Every query set against every index under every model: (config, qid, docno, rank, score, postings_cost).
+
+    ``config`` is index/queries/model. The runs are one plan over stored indexes; only query terms are staged on the way.
+    """
+    runs = []
+    for index, i in indexes.items():
+        for queries, q in query_sets.items():
+            runs += [rank.search(i, q, m, limit).withColumn("config", F.lit(f"{index}/{queries}/{m}")) for m in models]
+    return reduce(DataFrame.unionByName, runs)
+
+
+def batch_evaluate(runs: DataFrame, qrels: DataFrame, complete: bool = False, ndcg: bool = False) -> DataFrame:
+    """``evaluate.per_query`` of all runs(config, qid, docno, score) at once: config, qid and a column per measure."""
+    key = F.concat_ws("\t", "config", F.col("qid").cast("string"))
+    configs = F.broadcast(runs.select("config").distinct())  # as many rows as experiments
+    judged = qrels.crossJoin(configs).select(key.alias("qid"), "docno", "rel")
+    per = evaluate.per_query(runs.select(key.alias("qid"), "docno", "score"), judged, complete, ndcg)
+    parts = F.split("qid", "\t")
+    return per.select(parts[0].alias("config"), parts[1].alias("qid"), *per.columns[1:])
+
+
+def run_experiment(corpus: DataFrame, queries: DataFrame, qrels: DataFrame, path: str, mode: str = "standard", model: str = "lm", limit: int = 1000, **settings) -> DataFrame:
+    """Index, search, evaluate: the index, the run, the settings and the evaluation are stored below ``path``; returns (measure, value) of all queries."""
+    spark = corpus.sparkSession
+    index = build_index(corpus, mode, **settings).save(f"{path}/index")
+    run = rank.search(index, queries, model, limit)
+    writers.write_run(run, f"{path}/run", model)
+    writers.write_settings(spark, {"mode": mode, "model": model, "limit": limit} | settings, f"{path}/settings")
+    evaluate.evaluate(readers.read_run(spark, f"{path}/run"), qrels).write.parquet(f"{path}/evaluation")
+    return spark.read.parquet(f"{path}/evaluation").select("measure", "value")
+
+
 def sign_test(a: DataFrame, b: DataFrame, value: str, lower_is_better: bool = False, by: list[str] | None = None) -> DataFrame:
     """by..., n_pairs, better, worse, equal, p_value: rows of ``a`` against those of ``b`` with the same qid; null values drop out.
 

@@ -167,6 +167,18 @@ def score(
     return out.select("qid", "docid", "name", "score")
 
 
+def score_documents(index: Index, pairs: DataFrame, model: str = "lm", **params) -> DataFrame:
+    """(qid, name, score) of pairs(qid, text, name): each query against the documents asked for only.
+
+    Postings of other documents leave before they meet a term. A pair without a matching term, or of an unknown document, gives no row.
+    """
+    asked = pairs.select("qid", "name").distinct()
+    docs = index.docs.join(asked.select("name").distinct(), "name", "left_semi")
+    few = index.with_(docs=docs, postings=index.postings.join(docs.select("docid"), "docid", "left_semi"))
+    scores = score(few, pairs.select("qid", "text").distinct(), model, **params)
+    return scores.join(asked, ["qid", "name"], "left_semi").select("qid", "name", "score")
+
+
 def top_k(scores: DataFrame, k: int = 1000) -> DataFrame:
     """``scores`` with rank 0..k-1 per query by score rounded to 9 digits, then docid. Each task keeps k rows before the exchange."""
     order = W.partitionBy("qid").orderBy(F.desc(F.round("score", 9)), F.asc("docid"))

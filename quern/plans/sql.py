@@ -29,7 +29,7 @@ PARTS = {
     "rel": "SELECT item_id AS qid, doc_id, CAST(1 + doc_id % 3 AS INTEGER) AS rel FROM documents d, benchmark b WHERE contains(d.text, b.text)",
 }
 BASE = ("d", "w", "tok", "pc", "dict", "post", "docs", "stats")
-SHORT = "SELECT item_id AS qid, array_to_string(string_split(text, ' ')[1:3], ' ') AS text FROM benchmark"
+EVERY = "HAVING count(DISTINCT termid) = (SELECT count(*) FROM qt WHERE qt.qid = m.qid AND term <> '')"  # of the query's tokens, its full stop aside
 
 
 def chain(final: str, *names: str, recursive: bool = False, **own: str) -> str:
@@ -133,10 +133,13 @@ SIGN = (
 COUNTS = "SELECT count(*) AS n_pairs, count(*) FILTER ({}) AS better, count(*) FILTER ({}) AS worse, count(*) FILTER (x = y) AS equal FROM p"
 
 
+def other_run(ranked: dict[str, str], name: str) -> dict[str, str]:
+    """A second ranking as ``sc_name`` and ``run_name``."""
+    return {f"sc_{name}": ranked["sc"], f"run_{name}": ranked["run"].replace("FROM sc)", f"FROM sc_{name})")}
+
+
 def two_runs() -> dict[str, str]:
-    b = {f"{n}_b": s for n, s in bm25().items()}
-    b = {"sc_b": b["sc_b"], "run_b": b["run_b"].replace("FROM sc)", "FROM sc_b)")}
-    return lm() | b | JUDGED | ranks("run") | ranks("run_b")
+    return lm() | other_run(bm25(), "b") | JUDGED | ranks("run") | ranks("run_b")
 
 
 FREQ = "SELECT token, count(*) AS freq, count(DISTINCT docid) AS doc_freq FROM tok GROUP BY token"
@@ -146,6 +149,16 @@ NGRAMS = "SELECT docid, array_to_string(w[i : i + {n} - 1], ' ') AS ngram FROM (
 TOKENS = ("d", "w", "tok")
 NOSTOP = {"pc": PARTS["pc"].replace("token <> ''", f"token <> '' AND token NOT IN ({STOP_SQL})")}
 
+# longest matches: one alternation of all terms, longer ones first, so that the leftmost match is the longest
+LONGEST = "regexp_extract_all({}, (SELECT string_agg(regexp_escape(term), '|' ORDER BY length(term) DESC, term) FROM {}))"
+CLEAN = "regexp_replace(" + FOLDED.format("content") + ", '[0-9[:punct:]]+', ' ', 'g')"
+MATCHED = "SELECT docid, term, count(*) AS tf FROM (SELECT docid, unnest(" + LONGEST.format(CLEAN, "v") + ") AS term FROM d) GROUP BY docid, term"
+FREQUENT = f"SELECT token AS term FROM ({FREQ}) WHERE freq >= {VOCABULARY_FREQ} AND token <> ''"
+PHRASES = f"SELECT phrase AS term FROM x WHERE pmi >= 4 AND w1 NOT IN ({STOP_SQL}) AND w2 NOT IN ({STOP_SQL}) UNION SELECT token FROM f WHERE freq >= 20 AND token <> '' AND token NOT IN ({STOP_SQL})"
+PHRASE_INDEX = {"f": FREQ, "p": PAIRS.replace(">= 10", ">= 20"), "x": PMI, "v": PHRASES, "pc": MATCHED} | {n: PARTS[n] for n in ("dict", "post", "docs", "stats")}
+REPORT = "SELECT (SELECT count(*) FROM dict) AS dict_terms, (SELECT count(*) FROM dict WHERE contains(term, ' ')) AS ngrams, (SELECT CAST(sum(tf) AS BIGINT) FROM post) AS term_rows, num_docs, round(avgdl, 6) AS avgdl, sumdf FROM stats"
+LONGEST_QUERY = "SELECT qid, term, count(*) AS qtf FROM (SELECT qid, unnest(" + LONGEST.format(FOLDED.format("text"), "dict") + ") AS term FROM q) GROUP BY ALL"
+
 SQL = {
     "tok_regex_counts": chain("SELECT docid, name, len(w) AS n_tokens, len(list_filter(w, lambda x: x = '')) AS n_empty FROM w", "d", "w"),
     "token_freq": chain(FREQ, *TOKENS),
@@ -155,10 +168,7 @@ SQL = {
     "index_dict_limit": chain("SELECT * FROM (SELECT row_number() OVER (ORDER BY df DESC, term) AS termid, term, df FROM dict) WHERE termid <= 500", *TOKENS, "pc", "dict"),
     "index_postings": chain("SELECT termid, docid, CAST(0 AS BIGINT) AS fieldid, tf FROM post", *TOKENS, "pc", "dict", "post"),
     "index_stats": chain("SELECT num_docs, round(avgdl, 6) AS avgdl, sumdf, 'standard' AS index_type, 'none' AS stemmer FROM stats", *BASE),
-    "index_report": chain(
-        "SELECT (SELECT count(*) FROM dict) AS dict_terms, (SELECT count(*) FROM dict WHERE contains(term, ' ')) AS ngrams, (SELECT CAST(sum(tf) AS BIGINT) FROM post) AS term_rows, num_docs, round(avgdl, 6) AS avgdl, sumdf FROM stats",
-        *BASE,
-    ),
+    "index_report": chain(REPORT, *BASE),
     "terms_positions": chain("SELECT docid, row_number() OVER (PARTITION BY docid ORDER BY place) AS pos, termid FROM tok JOIN dict ON token = term", *TOKENS, "pc", "dict"),
     "ngram_generic_freq": chain("SELECT ngram, count(*) AS freq, count(DISTINCT docid) AS doc_freq FROM g GROUP BY ngram HAVING count(*) >= 5", "d", "w", g=NGRAMS.format(n=3)),
     "bigram_freq": chain(PAIRS, *TOKENS),
@@ -171,18 +181,21 @@ SQL = {
         "SELECT qid, count(token) AS n_tokens, coalesce(string_agg(token, '|' ORDER BY place), '') AS tokens FROM walk GROUP BY qid",
         *TOKENS,
         recursive=True,
-        v=f"SELECT token AS term FROM ({FREQ}) WHERE freq >= {VOCABULARY_FREQ} AND token <> ''",
+        v=FREQUENT,
         t=f"SELECT item_id AS qid, {FOLDED.format('text')} AS s FROM benchmark",
         c="SELECT qid, i, substr(s, i, n) AS term, n FROM (SELECT qid, s, unnest(range(1, length(s) + 1)) AS i FROM t), (SELECT DISTINCT length(term) AS n FROM v)",
         best="SELECT qid, i, max(n) AS n, arg_max(term, n) AS token FROM c SEMI JOIN v USING (term) GROUP BY qid, i",
         hop="SELECT qid, i, coalesce(n, 1) AS n, token FROM (SELECT qid, unnest(range(1, length(s) + 1)) AS i FROM t) LEFT JOIN best USING (qid, i)",
         walk="SELECT qid, CAST(0 AS BIGINT) AS place, CAST(1 AS BIGINT) AS next, CAST(NULL AS VARCHAR) AS token FROM t UNION ALL SELECT w.qid, h.i, h.i + h.n, h.token FROM walk w JOIN hop h ON h.qid = w.qid AND h.i = w.next",
     ),
+    "longest_match_docs": chain("SELECT docid, term, tf FROM m", *TOKENS, v=FREQUENT, m=MATCHED),
+    "phrase_index_report": chain(REPORT, *TOKENS, **PHRASE_INDEX),
+    "search_phrases_lm": chain(RUN, *TOKENS, **PHRASE_INDEX, **{n: PARTS[n] for n in ("q", "qt", "qd", "m", "cost")} | {"qt": LONGEST_QUERY}, **lm()),
     "query_terms_stats": chain("SELECT qid, term, qtf, termid, df FROM qd", *TOKENS, "pc", "dict", "q", "qt", "qd"),
     "search_lm": search(lm()),
     "search_lm_stopwords": search(lm(), **NOSTOP),
     "search_lm_fields": search(lm()),
-    "search_lm_conjunctive": search(lm(having="HAVING count(DISTINCT termid) = (SELECT count(*) FROM qt WHERE qt.qid = m.qid)"), q=SHORT),
+    "search_lm_conjunctive": search(lm(having=EVERY)),
     "search_lm_postings_cost": chain("SELECT qid, postings_cost FROM cost", *SEARCH),
     "search_bm25": search(bm25()),
     "search_bm25_const": with_const(bm25(None)),
@@ -226,11 +239,12 @@ SQL = {
         + ", ".join(f"sum(rel / log2(r + 1)) FILTER (r <= {k}) AS i{k}" for k in P_CUTS)
         + " FROM (SELECT qid, rel, row_number() OVER (PARTITION BY qid ORDER BY rel DESC) AS r FROM qrels WHERE rel > 0) GROUP BY qid) USING (qid) GROUP BY qid"
     ),
-    "eval_complete": judged(
+    "eval_complete": chain(
         "SELECT measure, round(value, 6) AS value FROM (UNPIVOT (SELECT CAST(count(*) AS DOUBLE) AS num_q, CAST(sum(num_rel) AS DOUBLE) AS num_rel, CAST(coalesce(sum(n), 0) AS DOUBLE) AS num_ret, CAST(coalesce(sum(h), 0) AS DOUBLE) AS num_rel_ret, "
         "avg(coalesce(ap, 0)) AS map, avg(coalesce(rr, 0)) AS recip_rank, avg(coalesce(p, 0)) AS P_10 FROM tot LEFT JOIN (SELECT qid, count(*) AS n, sum(hit) AS h, "
-        f"{AP} / greatest(max(num_rel), 1) AS ap, 1.0::DOUBLE / min(rank) FILTER (hit = 1) AS rr, sum(hit) FILTER (rank <= 10) / 10 AS p FROM erun WHERE qid % 2 = 0 GROUP BY qid) USING (qid)) ON COLUMNS(*) INTO NAME measure VALUE value)"
-    ),
+        f"{AP} / greatest(max(num_rel), 1) AS ap, 1.0::DOUBLE / min(rank) FILTER (hit = 1) AS rr, sum(hit) FILTER (rank <= 10) / 10 AS p FROM erun_c GROUP BY qid) USING (qid)) ON COLUMNS(*) INTO NAME measure VALUE value)",
+        *SEARCH, "rel", **(lm() | other_run(lm(having=EVERY), "c") | JUDGED | ranks("run_c")),
+    ),
     "eval_cost_avg": chain("SELECT round(avg(postings_cost), 6) AS average_cost, CAST(sum(postings_cost) AS BIGINT) AS total_cost FROM (SELECT DISTINCT qid, postings_cost FROM run)", *SEARCH, **lm()),
     "sign_test_map": chain(
         SIGN, *SEARCH, "rel", **two_runs(),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -28,9 +28,19 @@ def write_sample(sample: DataFrame, path: str, mode: str = "error") -> None:
     sample.orderBy("x").select("x", "y").write.mode(mode).csv(path, sep="\t")
 
 
+def one_line(text: Column) -> Column:
+    """Line ends and tabs as spaces: the formats hold a query a line."""
+    return F.regexp_replace(text, "[\t\n\r]+", " ")
+
+
+def write_queries(queries: DataFrame, path: str, mode: str = "error") -> None:
+    """``qid<tab>text`` lines, as ``read_queries`` takes them."""
+    queries.select(F.concat_ws("\t", "qid", one_line(F.col("text"))).alias("value")).write.mode(mode).text(path)
+
+
 def split_queries(queries: DataFrame, path: str, mode: str = "error") -> None:
     """A folder for each query, ``qid=...``, with its one line ``text``."""
-    queries.select("qid", "text").repartition("qid").write.mode(mode).partitionBy("qid").text(path)
+    queries.select("qid", one_line(F.col("text")).alias("text")).repartition("qid").write.mode(mode).partitionBy("qid").text(path)
 
 
 def write_table(df: DataFrame, path: str, *order: str, mode: str = "error") -> None:
@@ -41,3 +51,8 @@ def write_table(df: DataFrame, path: str, *order: str, mode: str = "error") -> N
 def write_settings(spark: SparkSession, settings: dict, path: str, mode: str = "error") -> None:
     """An experiment's settings as one JSON line."""
     spark.createDataFrame([(json.dumps(settings, sort_keys=True, default=str),)], "value string").coalesce(1).write.mode(mode).text(path)
+
+
+def write_evaluations(lines: DataFrame, path: str, mode: str = "error") -> None:
+    """lines(query, config, value) as texts in folders by query and configuration, as ``parse_evaluations`` takes them apart."""
+    lines.select("query", "config", "value").repartition("query", "config").write.mode(mode).partitionBy("query", "config").text(path)

@@ -10,7 +10,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from quern.plans import catalogue, sql
+from quern.plans import registry
 
 SF = "/root/testdata/sf0.001"
 
@@ -29,11 +29,11 @@ def plain(v):
     return [plain(x) for x in v] if isinstance(v, (list, tuple)) else v
 
 
-@pytest.mark.parametrize("name", sorted(sql.SQL))
+@pytest.mark.parametrize("name", sorted(registry.SQL))
 def test_equals_sql(spark, con, name):
-    df = catalogue.QUERIES[name](spark, SF)
+    df = registry.QUERIES[name](spark, SF)
     cols = sorted(df.columns)
-    r = con.execute(sql.SQL[name])
+    r = con.execute(registry.SQL[name])
     names = [c[0] for c in r.description]
     assert sorted(names) == cols
     want = sorted(repr([plain(x[names.index(c)]) for c in cols]) for x in r.fetchall())
@@ -41,9 +41,9 @@ def test_equals_sql(spark, con, name):
     assert got == want
 
 
-@pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(sql.SQL)))
+@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.SQL)))
 def test_runs(spark, name):
-    assert catalogue.QUERIES[name](spark, SF).count() > 0
+    assert registry.QUERIES[name](spark, SF).count() > 0
 
 
 def test_entry(spark):
