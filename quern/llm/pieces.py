@@ -1,16 +1,17 @@
 """SentencePiece encoding and decoding by a weighted finite-state transducer.
 
-The machine is compiled from a model file: a normaliser (space to U+2581, a leading U+2581),
-an arc path for every piece, and byte arcs for characters that are no piece. Its weights lie in the
-tropical semiring. In a merge-trained (BPE) model the weight of an arc depends on the piece before it:
-nothing if that pair of pieces is stable under the model's own merge order, infinity if a merge would cross their
-border. A sequence of pieces is what merging yields exactly when all neighbouring pairs are stable, so the path of
-least weight is the library's own result. Composition with an input is lazy: states are (position,
-piece before), and only arcs that leave states of finite weight are looked up.
-
-No piece has U+2581 after another character or holds a character without a piece, and in many models none has a
-letter before a character that is none. Inputs fall apart there: no merge crosses such a border, and any arc
-after it weighs nothing. The least path of each part is remembered by the worker.
+The machine is compiled from a model file. Its arcs read the raw text: the normaliser (space to U+2581) is composed with the
+pieces when they are compiled, so wherever a piece has U+2581 there is an arc for either; a start arc writes the leading
+U+2581; a character that no piece has is read by a byte arc, which writes its bytes. Weights lie in the tropical semiring.
+In a unigram model the weight of an arc is the piece's negative score, and the path of least weight comes from a pass over the
+positions. In a merge-trained (BPE) model it depends on the piece before: nothing if that pair of pieces is stable under the model's own merge order,
+infinity if a merge would cross their border. A sequence of pieces is what merging yields exactly when all neighbouring pairs are
+stable, so the path of least weight is the library's own result; as finite weights are all equal, the first path that reaches the
+end is one, and arcs are weighed only when their turn comes. A state is the position and the piece before it.
+
+No piece has U+2581 after another character, and in many models none has a
+letter before a character that is none. There the composed machine has one state only, through which every path leads: the
+least path is the sequence of the least paths between such states, and those are remembered by the worker.
 """
 
 from __future__ import annotations
@@ -31,33 +32,38 @@ from .words import id_text, public_id, slices
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MOST_BYTES = 64 << 20
 BAR = "▁"
-#: Parts, and stable or crossing pairs, that a worker remembers before it starts afresh.
-CACHE_PARTS, CACHE_PAIRS = 400_000, 1_000_000
+#: Bytes of paths, and stable or crossing pairs, that a worker remembers before it starts afresh.
+CACHE_BYTES, CACHE_PAIRS = 128 << 20, 1_000_000
 INFINITE = float("inf")
+#: What the library takes off the least score for a character without a piece.
+UNKNOWN_PENALTY = 10.0
 LETTER = re.compile(r"[^\W\d_]")
 #: Inputs fall apart before U+2581, and where no piece has a letter before another character also there.
-COARSE = re.compile(f"{BAR}*[^{BAR}]+|{BAR}+")
-FINE = re.compile(rf"{BAR}*[^\W\d_]+|{BAR}*(?:(?![^\W\d_])[^{BAR}])+[^\W\d_]*|{BAR}+")
-NORMAL, BYTE = 1, 6
+COARSE = re.compile(f"[{BAR} ]*[^{BAR} ]+|[{BAR} ]+")
+FINE = re.compile(rf"[{BAR} ]*[^\W\d_]+|[{BAR} ]*(?:(?![^\W\d_])[^{BAR} ])+[^\W\d_]*|[{BAR} ]+")
+NORMAL, BYTE, UNIGRAM, MERGES = 1, 6, 1, 2
+#: In place of a piece: the start, and a character read by a byte arc.
+START, BYTES = -1, -2
 
 
-def model_of(data: bytes) -> tuple[list[tuple[str, float, int]], bool]:
-    """(piece, score, type) by id, and whether a leading space is added; other normalisers and model types are refused."""
+def model_of(data: bytes) -> tuple[list[tuple[str, float, int]], bool, int]:
+    """(piece, score, type) by id, whether a leading space is added, and the model's type; other normalisers and types are refused."""
     from sentencepiece import sentencepiece_model_pb2
 
     m = sentencepiece_model_pb2.ModelProto()
     m.ParseFromString(data)
-    spec = m.normalizer_spec
-    if m.trainer_spec.model_type != 2 or spec.precompiled_charsmap or spec.remove_extra_whitespaces or not spec.escape_whitespaces or not m.trainer_spec.byte_fallback:
-        raise ValueError("only merge-trained models with byte fallback and the identity normaliser are supported")
-    return [(p.piece, p.score, p.type) for p in m.pieces], spec.add_dummy_prefix
+    spec, kind = m.normalizer_spec, m.trainer_spec.model_type
+    if kind not in (UNIGRAM, MERGES) or spec.precompiled_charsmap or spec.remove_extra_whitespaces or not spec.escape_whitespaces or not m.trainer_spec.byte_fallback:
+        raise ValueError("only unigram and merge-trained models with byte fallback and the identity normaliser are supported")
+    return [(p.piece, p.score, p.type) for p in m.pieces], spec.add_dummy_prefix, kind
 
 
 class Transducer(dict):
-    """As a dict: the output labels (ids) of a part of the normalised text, remembered."""
+    """As a dict: the output labels (ids) of a part of the text between two states that every path leads through, remembered."""
 
     def __init__(self, data: bytes) -> None:
-        pieces, self.prefix = model_of(data)
+        pieces, prefix, self.kind = model_of(data)
+        self.prefix = BAR if prefix else ""
         self.ids = {p: i for i, (p, _, kind) in enumerate(pieces) if kind == NORMAL}
         self.scores = [s for _, s, _ in pieces]
         self.bytes = [0] * 256
@@ -70,18 +76,24 @@ class Transducer(dict):
             self.outputs.append(p if kind == NORMAL else "" if kind == 3 else " ⁇ ")
         self.number = list(range(len(pieces)))  # one object an id, so that remembered paths share them
         self.pairs: dict[int, float] = {}
-        self.letters = {c for p in self.ids for c in p}
+        self.held = 0
+        self.unknown = min(self.scores[i] for i in self.ids.values()) - UNKNOWN_PENALTY
         linked = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         self.parts = COARSE if any(LETTER.match(a) and not LETTER.match(b) for a, b in linked) else FINE
+        letters = {c for p in self.ids for c in p}
+        if any(BAR in p.lstrip(BAR) for p in self.ids) or (self.kind == MERGES and any(c not in self.ids for c in letters)):
+            raise ValueError("pieces that span words or lack their letters are not supported")
         self.trie: dict = {}
         for p, i in self.ids.items():
-            if len(p) == 1 or self.merged(p) == [p]:
+            if self.kind == UNIGRAM or len(p) == 1 or self.merged(p) == [p]:
                 node = self.trie
                 for c in p:
-                    node = node.setdefault(c, {})
+                    if c not in node:
+                        node[c] = {}
+                        if c == BAR:
+                            node[" "] = node[c]  # the normaliser's arc
+                    node = node[c]
                 node[""] = i
-        if any(BAR in p.lstrip(BAR) for p in self.ids) or any(c not in self.ids for c in self.letters):
-            raise ValueError("pieces that span words or lack their letters are not supported")
 
     def merged(self, text: str) -> list[str]:
         """What the model's merges make of a short text: best score first, leftmost of equals."""
@@ -97,72 +109,112 @@ class Transducer(dict):
             k = best[1]
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
 
-    def weight(self, a: str, b: str) -> float:
-        """Of the arc for piece b after piece a."""
-        return 0.0 if self.merged(a + b) == [a, b] else INFINITE
-
-    def shortest(self, text: str) -> list[int]:
-        """The path of least weight over a text of letters that the pieces know."""
-        pairs, root, n, done = self.pairs, self.trie, len(text), set()
-        # Best first: weights are zero or infinite, so the first path to reach the end is a least one. Of equals the
-        # one with the longest last piece goes first. An arc is weighed when its turn comes, a state is left once.
-        open_states: list[tuple] = [(0, -1, None)]  # position, id of the piece before, state before
-        while True:
-            state = open_states.pop()
-            i, k, via = state
-            if via is not None:
-                if i << 20 | k in done:
-                    continue
-                before = via[1]
-                if before >= 0:
-                    w = pairs.get(before << 20 | k)
-                    if w is None:
-                        if len(pairs) > CACHE_PAIRS:
-                            pairs.clear()
-                        pairs[before << 20 | k] = w = self.weight(self.outputs[before], self.outputs[k])
-                    if w == INFINITE:
-                        continue
-                if i == n:
-                    break
-                done.add(i << 20 | k)
-            node = root
+    def weight(self, before: int, k: int) -> float:
+        """Of the arc for piece k after another one, in a merge-trained model. No merge crosses the border of a byte arc."""
+        if before < 0 or k < 0:
+            return 0.0
+        w = self.pairs.get(before << 20 | k)
+        if w is None:
+            if len(self.pairs) > CACHE_PAIRS:
+                self.pairs.clear()
+            a, b = self.outputs[before], self.outputs[k]
+            self.pairs[before << 20 | k] = w = 0.0 if self.merged(a + b) == [a, b] else INFINITE
+        return w
+
+    def arcs(self, text: str, i: int) -> list[tuple[int, int]]:
+        """(end, piece) of the arcs that read ``text`` from position i, shorter ones first; without any the byte arc."""
+        node, out = self.trie, []
+        for j in range(i, len(text)):
+            node = node.get(text[j])
+            if node is None:
+                break
+            k = node.get("")
+            if k is not None:
+                out.append((j + 1, k))
+        return out or [(i + 1, BYTES)]
+
+    def stable_path(self, text: str) -> list[tuple[int, int]]:
+        """(end, piece) along a path of finite weight. Of a state's arcs the longest is weighed first; a state that leads nowhere is left for good.
+
+        What is held is one frame a piece: its end, the piece and how many arcs behind it were weighed.
+        """
+        n, trie, known = len(text), self.trie, self.pairs
+        ends, path, turns, dead = [0], [START], [0], set()
+        i, before, turn = 0, START, 0
+        while i < n:
+            node, arcs = trie, []
             for j in range(i, n):
                 node = node.get(text[j])
                 if node is None:
                     break
                 k = node.get("")
                 if k is not None:
-                    open_states.append((j + 1, k, state))
-        back = []
-        while state[2] is not None:
-            back.append(self.number[state[1]])
-            state = state[2]
-        return back[::-1]
+                    arcs.append((j + 1, k))
+            if not arcs:
+                arcs.append((i + 1, BYTES))
+            for j, k in reversed(arcs[: len(arcs) - turn] if turn else arcs):
+                turn += 1
+                if dead and (j << 20 | k) in dead:
+                    continue
+                if before >= 0 and k >= 0:
+                    w = known.get(before << 20 | k)
+                    if self.weight(before, k) if w is None else w:
+                        continue
+                turns[-1] = turn
+                ends.append(j)
+                path.append(k)
+                turns.append(0)
+                i, before, turn = j, k, 0
+                break
+            else:
+                dead.add(i << 20 | before)
+                ends.pop()
+                path.pop()
+                turns.pop()
+                i, before, turn = ends[-1], path[-1], turns[-1]
+        return list(zip(ends[1:], path[1:], strict=True))
+
+    def lightest_path(self, text: str) -> list[tuple[int, int]]:
+        """(end, piece) along the path of least weight of a unigram model: positions are relaxed from left to right."""
+        n = len(text)
+        weight, via = np.full(n + 1, np.inf, np.float32), [(0, START)] * (n + 1)
+        weight[0] = 0
+        for i in range(n):
+            arcs = self.arcs(text, i)
+            if arcs[0][0] != i + 1:
+                arcs.append((i + 1, BYTES))  # the library offers it wherever no single character is a piece
+            for j, k in arcs:
+                w = weight[i] - np.float32(self.unknown if k == BYTES else self.scores[k])
+                if w < weight[j]:
+                    weight[j], via[j] = w, (i, k)
+        out = []
+        while n:
+            i, k = via[n]
+            out.append((n, k))
+            n = i
+        return out[::-1]
 
     def __missing__(self, part: str) -> tuple[int, ...]:
-        letters, number, out, run = self.letters, self.number, [], 0
-        if letters.issuperset(part):
-            out = self.shortest(part)
-        else:
-            for k, c in enumerate(part):
-                if c not in letters:
-                    if k > run:
-                        out += self.shortest(part[run:k])
-                    out += [number[self.bytes[b]] for b in c.encode("utf-8", "surrogatepass")]
-                    run = k + 1
-            if len(part) > run:
-                out += self.shortest(part[run:])
-        if len(self) > CACHE_PARTS:
-            self.clear()
-        self[part] = path = tuple(out)
+        number, out, start = self.number, [], 0
+        found = self.lightest_path(part) if self.kind == UNIGRAM else self.stable_path(part)
+        for end, k in found:
+            if k >= 0:
+                out.append(number[k])
+            else:
+                out += [number[self.bytes[b]] for b in part[start:end].encode("utf-8", "surrogatepass")]
+            start = end
+        path = tuple(out)
+        size = 200 + 4 * len(part) + 8 * len(path)
+        if size < CACHE_BYTES >> 4:
+            if self.held + size > CACHE_BYTES:
+                self.clear()
+                self.held = 0
+            self.held += size
+            self[part] = path
         return path
 
-    def normalised(self, text: str) -> str:
-        text = text.replace(" ", BAR)
-        return BAR + text if text and self.prefix else text
-
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(map(self.__getitem__, self.parts.findall(self.normalised(text)))))
+        return list(chain.from_iterable(map(self.__getitem__, self.parts.findall(self.prefix + text)))) if text else []
 
     def decode(self, ids: list[int]) -> str:
         outputs, byte_of = self.outputs, self.byte_of
@@ -215,8 +267,9 @@ def encoded(shared):
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_path: str = MODEL) -> DataFrame:
     """One row per input row: doc_id, n_tokens, round_trip (decoding gives the text back, U+2581 read as a space), ids.
 
-    Null and empty texts have no tokens; ids are passed through, nulls and repeats included; texts are encoded whole; an
-    empty table gives an empty result; other columns are not read.
+    Null and empty texts have no tokens; ids are passed through, nulls and repeats included; texts, very long ones too, are
+    encoded whole, in memory of some hundred bytes a character of the longest stretch without a blank; of paths of equal weight the one
+    that the library takes. An empty table gives an empty result; other columns are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model_bytes(model_path))
     rows = id_text(docs, id_col, text_col).mapInArrow(encoded(shared), "doc long, n_tokens int, round_trip boolean, ids array<int>")

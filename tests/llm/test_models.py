@@ -195,7 +195,9 @@ def library():
 
 
 def test_pieces_equal_the_library(spark, library):
-    texts = TEXTS + [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").limit(400).collect()]
+    rng = np.random.default_rng(8)
+    long = ["".join(rng.choice(list("abcdeft"), 1_000_000)), "word " * 200_000, "né1 " * 5000 + "\U0001f600" * 3000]
+    texts = TEXTS + long + [r.text for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("text").where("text IS NOT NULL").collect()]
     machine = pieces.Transducer(pieces.model_bytes(pieces.MODEL))
     for t, want in zip(texts, library.encode(texts), strict=True):
         ids = machine.encode(t or "")
@@ -219,7 +221,37 @@ def test_best_path_without_linking_is_merging():
     """The path of least weight is what the model's own merge order makes, on random strings of its letters."""
     machine = pieces.Transducer(pieces.model_bytes(pieces.MODEL))
     rng = np.random.default_rng(6)
-    letters = [c for c in machine.letters if c.isascii()]
+    letters = [c for c in machine.trie if c.isascii() and c not in (" ", "")]
     for _ in range(500):
         t = "".join(rng.choice(letters, rng.integers(1, 12)))
-        assert [machine.outputs[i] for i in machine.shortest(t)] == machine.merged(t)
+        assert [machine.outputs[k] for _, k in machine.stable_path(t)] == machine.merged(t)
+
+
+def test_unigram_model_equals_the_library():
+    """Weights other than nothing and infinity: a small model written by hand."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2
+
+    m = sentencepiece_model_pb2.ModelProto()
+    m.trainer_spec.model_type, m.trainer_spec.byte_fallback = 1, True
+    m.normalizer_spec.add_dummy_prefix, m.normalizer_spec.remove_extra_whitespaces, m.normalizer_spec.escape_whitespaces = True, False, True
+    rng = np.random.default_rng(1)
+    words = sorted({"".join(rng.choice(list("abcd"), rng.integers(2, 5))) for _ in range(80)})
+    rows = [("<unk>", 0, 2), ("<s>", 0, 3), ("</s>", 0, 3)] + [(f"<0x{b:02X}>", 0, 6) for b in range(256)]
+    rows += [(p, float(-rng.uniform(2, 12)), 1) for p in [*"abc", "▁", *words, *("▁" + w for w in words[::3])]]
+    for p, score, kind in rows:
+        m.pieces.add(piece=p, score=score, type=kind)
+    data = m.SerializeToString()
+    library, machine = sentencepiece.SentencePieceProcessor(model_proto=data), pieces.Transducer(data)
+    for _ in range(300):
+        t = "".join(rng.choice(list("abcd é1"), rng.integers(0, 40)))
+        assert machine.encode(t) == library.encode(t), t
+        assert machine.decode(machine.encode(t)) == library.decode(library.encode(t))
+
+
+def test_memory_of_paths_is_bounded(monkeypatch):
+    monkeypatch.setattr(pieces, "CACHE_BYTES", 20_000)
+    machine = pieces.Transducer(pieces.model_bytes(pieces.MODEL))
+    for i in range(300):
+        machine.encode(f"word{i} " + "x" * 2000)
+        assert machine.held <= 20_000 and len(machine) < 120
