@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections import Counter
 from itertools import chain
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -85,8 +85,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     e = e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     paths: list[str] = []
 
-    def put(df: DataFrame) -> DataFrame:
+    def put(df: DataFrame, seen: Observation | None = None) -> DataFrame:
         paths.append(shared_dir(spark, "cc"))
+        if seen is not None:  # a mark of the edges, summed up while they are written
+            df = df.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.hash("a", "b").cast("long")).alias("h"), F.sum(F.xxhash64("b", "a") % 1000003).alias("x"))
         df.write.parquet(paths[-1])
         while len(paths) > 2:
             remove(spark, paths.pop(0))
@@ -103,8 +105,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
         e = put(large)
         least = e.groupBy("a").agg(F.min("b").alias("m"))
         small = e.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        e = put(small.union(least.select("a", F.col("m").alias("b"))).distinct())
-        now = e.agg(F.count("*").alias("n"), F.sum(F.hash("a", "b").cast("long")).alias("h"), F.sum(F.xxhash64("b", "a") % 1000003).alias("x")).first()
+        seen = Observation()
+        e = put(small.union(least.select("a", F.col("m").alias("b"))).distinct(), seen)
+        now = seen.get
         if now == mark:
             break
         mark = now

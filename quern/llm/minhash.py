@@ -325,7 +325,7 @@ def star_links(source: DataFrame, classes: DataFrame, hits: DataFrame, threshold
 
 
 def open_cells(hits: DataFrame, settled: DataFrame) -> DataFrame:
-    """Cells of the buckets of hits(key, member) with several components of ``settled``: cell, key, lo, hi, block, member, comp.
+    """Cells of the buckets of hits(key, member) with several components of settled(node, component): cell, key, lo, hi, block, member, comp.
 
     Members of a bucket's largest component are not paired with each other.
     """
@@ -363,7 +363,10 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = (80, 100), id_
     shared = keys.groupBy("key").agg(F.count("*").alias("size"), F.min("member").alias("leader")).where("size > 1")
     hits = stage(keys.join(shared, "key").select("key", "member", "leader"), "hits")
     stars = stage(star_links(source, classes, hits, threshold, least), "star-links")
-    settled = stage(connected_components(stars), "settled")
+    # one component for what a leader and its own leader hold together; that more is connected may show later
+    up = stars.select(F.col("a").alias("component"), F.col("b").alias("above"))
+    settled = stars.select(F.col("a").alias("node"), F.col("b").alias("component")).join(up, "component", "left")
+    settled = stage(settled.select("node", F.coalesce("above", "component").alias("component")), "settled")
 
     dealt = open_cells(hits, settled).join(classes.select("member", "sig"), "member")
     dealt = dealt.select("cell", "key", "lo", "hi", "block", "member", "comp", "sig")
