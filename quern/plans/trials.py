@@ -128,6 +128,12 @@ def const_prior(spark, d):
     return result(rank.search(index, passages(spark, d), "lm_const", 100))
 
 
+def grouped_prefix(spark, d):
+    """Terms grouped by a stemmer that SQL has too."""
+    index = stored(spark, d, "grouped-prefix", lambda: reindex.grouped(words_index(spark, d), catalogue.prefix5))
+    return result(rank.search(index, passages(spark, d), "bm25", 100))
+
+
 def one_document(spark, d):
     """The language model's score of the documents that hold a passage."""
     pairs = containing(spark, d).join(passages(spark, d), "qid").select("qid", "text", F.col("docno").alias("name"))
@@ -216,6 +222,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "search_field_body": fielded(["body"]),
     "search_both_fields": fielded(None),
     "search_const_prior": const_prior,
+    "search_grouped_prefix": grouped_prefix,
     "score_documents": one_document,
     "longest_query_tokens": longest_tokens,
     "batch_map": batch_map,
@@ -269,6 +276,15 @@ def two_fields(which: str) -> str:
     return chain(RUN, **(TWO | {"post": TWO["post"].format(which)}), **lm())
 
 
+# terms of one prefix share id, df and postings; a query reads each class once; sumdf stays
+GROUPED = {
+    "dict0": PARTS["dict"],
+    "dict": "SELECT dense_rank() OVER (ORDER BY s) AS termid, term, df FROM (SELECT term, left(term, 5) AS s FROM dict0) JOIN (SELECT left(term, 5) AS s, count(DISTINCT docid) AS df FROM pc GROUP BY 1) USING (s)",
+    "post": "SELECT termid, docid, sum(tf) AS tf FROM pc JOIN dict USING (term) GROUP BY ALL",
+    "docs": PARTS["docs"],
+    "stats": PARTS["stats"].replace("FROM dict)", "FROM dict0)"),
+} | {n: PARTS[n] for n in ("q", "qt", "qd", "m")}
+GROUPED["cost"] = "SELECT qid, count(*) AS postings_cost FROM (SELECT DISTINCT qid, termid, docid FROM m) GROUP BY qid"
 GRAMS = f"SELECT trim(ngram) AS term FROM ({sql.NGRAMS.format(n=2)}) GROUP BY ngram HAVING count(*) >= 40"
 SQL = {
     "file_queries": "SELECT CAST(item_id AS VARCHAR) AS qid, regexp_replace(text, '[\\t\\n\\r]+', ' ', 'g') AS text FROM benchmark",
@@ -293,6 +309,7 @@ SQL = {
     "search_field_body": two_fields("field = 'body'"),
     "search_both_fields": two_fields("true"),
     "search_const_prior": sql.with_const(CONST_PRIOR),
+    "search_grouped_prefix": chain(RUN, *TOKENS, "pc", **GROUPED, **bm25()),
     "score_documents": chain("SELECT sc.qid, name, round(score, 6) AS score FROM sc JOIN rel ON rel.qid = sc.qid AND name = CAST(doc_id AS VARCHAR)", *SEARCH, "rel", **lm()),
     "longest_query_tokens": chain("SELECT qid, term, qtf FROM qt", *TOKENS, "pc", "dict", "q", qt=sql.LONGEST_QUERY),
     "batch_map": chain(BATCH, *SEARCH, "rel", **FOUR),
