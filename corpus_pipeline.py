@@ -10,14 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import exact_dedup, language_id, minhash, mixing, pieces
-from quern.llm.common import shared_dir
+from quern.storage import shared_dir, staging
 
 #: Documents whose language has a smaller mean posterior are rejected, as are those without a letter.
 LEAST_LANGUAGE_SCORE = 0.4
 
 
 def staying(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is in ``ids`` (nulls match nulls), all columns kept."""
+    """The rows of ``docs`` whose doc_id is in ``ids`` (nulls match nulls), all columns kept. Rows of one id share its verdict."""
     return docs.join(ids.select(F.col("doc_id").alias("__id")).distinct(), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
 
 
@@ -63,6 +63,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         path = shared_dir(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with staging(spark):  # what the stage staged on its way goes when its result is written
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs

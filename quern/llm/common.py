@@ -94,22 +94,22 @@ def connected_components(edges: DataFrame) -> DataFrame:
             remove(spark, paths.pop(0))
         return spark.read.schema("a long, b long").parquet(paths[-1])
 
-    e = put(e)
-    mark = None
+    seen = Observation()
+    e = put(e, seen)
+    mark = seen.get
     while True:
         # large star: every larger neighbour of u is tied to the least of u and its neighbours
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         # small star: u and its smaller neighbours are tied to the least of them
         e = put(large)
         least = e.groupBy("a").agg(F.min("b").alias("m"))
         small = e.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         seen = Observation()
         e = put(small.union(least.select("a", F.col("m").alias("b"))).distinct(), seen)
-        now = seen.get
-        if now == mark:
+        was, mark = mark, seen.get
+        if mark == was:
             break
-        mark = now
     # at the fixed point every node hangs from its root directly
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -296,7 +296,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 def identify(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, held_out, lang_pred, score.
 
-    Null texts and texts without a letter are ``und`` with score 0; a null id is never held out nor learned
+    Null texts and texts without a letter are ``und`` with score 0; very long texts are labelled whole, by segments; of equal
+    posteriors the language first by name is taken; a null id is never held out nor learned
     from; repeated rows are predicted alike; without any labelled row all are ``und``; an empty table gives an
     empty result; other columns are not read.
     """

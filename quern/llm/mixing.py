@@ -56,7 +56,8 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, size: f
     """The mixture: every input row ``copies`` times, columns as given plus ``copy``, ``copies``, ``shuffle_key``.
 
     Rows with a null source form a source of their own; a null id draws as the text 'null'.
-    Rows that repeat an id draw alike. Sources without weight give no rows; an empty table gives none.
+    Rows that repeat an id draw alike, and copies of equal key lie in any order; texts, null, empty or very long, are carried along
+    unread. Sources without weight give no rows; an empty table gives none.
     Input columns named like the three new ones are replaced.
     """
     cols = [f"`{c}`" for c in (keep or tuple(docs.columns)) if c.lower() not in ("copy", "copies", "shuffle_key")]

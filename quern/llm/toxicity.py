@@ -287,7 +287,8 @@ def toxicity(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
     """One row per input row: doc_id, held_out, score, predicted, evidence.
 
     Null and empty texts, and texts without a word of any example, score the base rate of the labels (kept below
-    0.5); without labels of both classes every text does. A null id is neither held out nor learned from; repeated rows score
+    0.5); without labels of both classes every text does. Very long texts are scored whole; of equally near examples the earlier one
+    of the index counts. A null id is neither held out nor learned from; repeated rows score
     alike; a document with contradicting labels counts as toxic; an empty table gives an empty result; other
     columns are not read.
     """

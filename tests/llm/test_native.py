@@ -147,6 +147,9 @@ def test_mixing_edges(spark):
     assert {r.source for r in got.collect()} <= {None} and got.columns.count("copies") == 1
     a = mixing.mix(cases.frame(spark, [(None, "x", "en", "s", 1)] * 2 + [(5, "y", "en", "s", 1)] * 2), size=40).groupBy("doc_id", "copy").count().collect()
     assert all(r["count"] == 2 for r in a)  # repeated rows draw alike
+    texts = {1: None, 2: "", 3: "long " * 200000}
+    b = mixing.mix(cases.frame(spark, [(i, t, "en", None, None) for i, t in texts.items()]), size=60).collect()
+    assert len(b) > 20 and all(r.text == texts[r.doc_id] for r in b)
 
 
 def test_components(spark):
