@@ -14,7 +14,7 @@ from ..functions import stemmers, text
 from ..index import Index, build_index, document_frequencies, load_index, longest_counts, number_documents, regex_counts, term_positions, top_terms
 from ..operators import evaluate, experiments, phrases, rank, reindex
 from ..sources import ciff
-from ..storage import exists, shared_dir
+from ..storage import exists, shared_dir, spread
 
 #: Stop words of the test queries: frequent words of the four languages of the test tables.
 STOP = ("a", "and", "das", "de", "der", "die", "el", "en", "in", "la", "le", "les", "of", "the", "to", "und", "y")
@@ -23,7 +23,8 @@ _stored: dict[tuple, str] = {}
 
 
 def corpus(spark: SparkSession, d: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").cast("string").alias("did"), F.col("text").alias("content"))
+    rows = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").cast("string").alias("did"), F.col("text").alias("content"))
+    return spread(rows)
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
@@ -111,7 +112,7 @@ def run_of(spark: SparkSession, d: str, model: str = "lm", index=words_index) ->
 
 def containing(spark: SparkSession, d: str) -> DataFrame:
     """(qid, docno, rel): documents that hold a passage, graded 1 to 3 by their id."""
-    docs = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("id"), "text")
+    docs = spread(spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("id"), "text"))
     found = experiments.containments(docs, passages(spark, d).select(F.col("qid").alias("needle_id"), F.col("text").alias("needle")))
     return found.select(F.col("needle_id").alias("qid"), F.col("id").cast("string").alias("docno"), (1 + F.col("id") % 3).cast("int").alias("rel"))
 

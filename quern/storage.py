@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Bytes a core below which ``spread`` deals rows out.
+SMALL_BYTES = 16 << 20
 #: Folders handed out by ``stage`` and not yet removed.
 _staged: list[str] = []
 
@@ -37,6 +39,16 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a small table dealt to all cores, as one row group is one task however its file is cut. Other tables come as they are scanned.
+
+    Small is what has less than SMALL_BYTES a core by the plan's own estimate, so what moves is bounded by the cluster, not by the table.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < SMALL_BYTES * cores else df
+
+
 @contextmanager
 def staging(spark: SparkSession) -> Iterator[None]:
     """What is staged inside the block is removed at its end: for blocks that write or collect their result."""
