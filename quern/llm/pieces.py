@@ -11,7 +11,7 @@ end is one, and arcs are weighed only when their turn comes. A state is the posi
 
 No piece has U+2581 after another character, and in many models none has a
 letter before a character that is none. There the composed machine has one state only, through which every path leads: the
-least path is the sequence of the least paths between such states, and those are remembered by the worker.
+least path is the sequence of the least paths between such states, and those of a merge-trained model are remembered by the worker.
 """
 
 from __future__ import annotations
@@ -194,16 +194,19 @@ class Transducer(dict):
             n = i
         return out[::-1]
 
-    def __missing__(self, part: str) -> tuple[int, ...]:
+    def labels(self, text: str) -> tuple[int, ...]:
+        """The ids along the least path over ``text``."""
         number, out, start = self.number, [], 0
-        found = self.lightest_path(part) if self.kind == UNIGRAM else self.stable_path(part)
-        for end, k in found:
+        for end, k in self.lightest_path(text) if self.kind == UNIGRAM else self.stable_path(text):
             if k >= 0:
                 out.append(number[k])
             else:
-                out += [number[self.bytes[b]] for b in part[start:end].encode("utf-8", "surrogatepass")]
+                out += [number[self.bytes[b]] for b in text[start:end].encode("utf-8", "surrogatepass")]
             start = end
-        path = tuple(out)
+        return tuple(out)
+
+    def __missing__(self, part: str) -> tuple[int, ...]:
+        path = self.labels(part)
         size = 200 + 4 * len(part) + 8 * len(path)
         if size < CACHE_BYTES >> 4:
             if self.held + size > CACHE_BYTES:
@@ -214,7 +217,11 @@ class Transducer(dict):
         return path
 
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(map(self.__getitem__, self.parts.findall(self.prefix + text)))) if text else []
+        if not text:
+            return []
+        if self.kind == UNIGRAM:  # the library's single-precision sums, which settle ties, run over the whole text
+            return list(self.labels(self.prefix + text))
+        return list(chain.from_iterable(map(self.__getitem__, self.parts.findall(self.prefix + text))))
 
     def decode(self, ids: list[int]) -> str:
         outputs, byte_of = self.outputs, self.byte_of
