@@ -4,8 +4,8 @@ Terms are all words of the labelled sample and the five-letter stems of longer w
 document frequency, which counts all documents, times its association with the label in the sample (chi-square), which is
 never 0; words that no example has add nothing to a cosine and are left out of a text's length. The examples lie in an
 inverted index in blocks; per term and block the largest weight is known. The most frequent terms are multiplied as one
-matrix for many queries at a time; of the others a query scores the blocks with the largest bounds, and only those whose
-bound exceeds the k-th best cosine so far. The best are worked out again in double precision, so the neighbours are exact
+matrix for many queries at a time, which also gives a k-th best cosine to begin with; of the others a query scores only the
+blocks whose bound exceeds it. The best are worked out again in double precision, so the neighbours are exact
 for the index's weights, which are kept in single precision. Votes are weighted by nearness and class frequency, then
 calibrated on the examples' own left-one-out votes.
 """
@@ -30,16 +30,12 @@ from .words import id_text, letter_words, public_id, slices
 ROWS_PER_CLASS, SAMPLE_BYTES = {1: 2000, 0: 4000}, 64 << 20
 #: A term weighs LEAST_WEIGHT, and one more as its chi-square grows; half of that at HALF_CHI2.
 LEAST_WEIGHT, HALF_CHI2 = 0.1, 20.0
-BLOCK, NEIGHBOURS = 64, 15
-#: Blocks scored before the bounds of the others are looked at.
-FIRST = 3
+BLOCK, NEIGHBOURS = 256, 15
 #: Terms that more than one in DENSE examples have, at most MOST_DENSE of them, are multiplied as a matrix, BATCH queries at a time.
 DENSE, MOST_DENSE, BATCH = 16, 1024, 64
 #: More than single precision can be off by.
 SLACK = 1e-5
 STEM = 5
-#: ``letter_words`` in the JVM: letters and number signs that are no digits.
-WORD = r"[\p{L}\p{Nl}\p{No}]+"
 CACHE_QUERIES = 50_000
 
 
@@ -111,15 +107,15 @@ class Index:
         term = np.concatenate([r[2] for r in rows]) if rows else np.zeros(0, np.int32)
         doc = np.repeat(np.arange(n, dtype=np.int32), [len(r[2]) for r in rows]) if rows else term
         weight = np.concatenate([r[3] for r in rows]) if rows else np.zeros(0, np.float32)
-        # frequent terms as a matrix, a row a term
+        # frequent terms as a matrix, a column a term
         size = np.bincount(term, minlength=v)
         often = np.flatnonzero(size > n / DENSE)
         often = np.sort(often[np.argsort(-size[often], kind="stable")[:MOST_DENSE]])
         self.row = np.full(v, -1, np.int32)
         self.row[often] = np.arange(len(often))
-        self.full = np.zeros((len(often), self.blocks * BLOCK), np.float32)
+        self.full = np.zeros((self.blocks * BLOCK, len(often)), np.float32)
         at = self.row[term]
-        self.full[at[at >= 0], doc[at >= 0]] = weight[at >= 0]
+        self.full[doc[at >= 0], at[at >= 0]] = weight[at >= 0]
         # the others as lists by term, then example; a list has a part for every block that holds its term
         rare = np.flatnonzero(at < 0)
         rare = rare[np.argsort(term[rare], kind="stable")]
@@ -131,10 +127,13 @@ class Index:
         self.start = np.searchsorted(term[first], np.arange(v + 1)).astype(np.int32)
 
     def add(self, cos: np.ndarray, part: np.ndarray, x: np.ndarray) -> None:
-        """Adds what the given parts of lists make, of terms with weights ``x`` in the query."""
-        a, b = self.part[part], self.part[part + 1]
+        """Adds what the given parts of lists make, of terms with weights ``x`` in the query. Neighbouring parts are read as one."""
+        if not len(part):
+            return
+        first = np.flatnonzero((np.diff(part, prepend=-2) != 1) | (np.diff(x, prepend=-1.0) != 0))
+        a, b = self.part[part[first]], self.part[part[np.append(first[1:], len(part)) - 1] + 1]
         at = spans(a, b)
-        cos += np.bincount(self.doc[at], np.repeat(x, b - a) * self.weight[at], len(cos))
+        cos += np.bincount(self.doc[at], np.repeat(x[first], b - a) * self.weight[at], len(cos))
 
     def nearest(self, t: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         return self.all_nearest([(t, w)], k, [skip])[0]
@@ -144,11 +143,11 @@ class Index:
         out = []
         for a in range(0, len(queries), BATCH):
             part = queries[a : a + BATCH]
-            q = np.zeros((len(part), len(self.full)), np.float32)
+            q = np.zeros((len(part), self.full.shape[1]), np.float32)
             for i, (t, w) in enumerate(part):
                 row = self.row[t]
                 q[i, row[row >= 0]] = w[row >= 0]
-            dense = q @ self.full
+            dense = q @ self.full.T
             out += [self.refined(t, w, dense[i], k, -1 if skip is None else skip[a + i]) for i, (t, w) in enumerate(part)]
         return out
 
@@ -157,29 +156,26 @@ class Index:
         if not len(t) or not self.docs:
             return np.zeros(0, np.int64), np.zeros(0)
         row = self.row[t]
+        common = row >= 0
         a, b = self.start[t], self.start[t + 1]
         part, x = spans(a, b), np.repeat(w, b - a)
         block = self.block[part]
         bound = np.bincount(block, x * self.best[part], self.blocks) + dense.reshape(self.blocks, BLOCK).max(axis=1)
-        first = np.argsort(-bound, kind="stable")[:FIRST]
-        chosen = np.zeros(self.blocks, bool)
-        chosen[first] = True
-        cos = dense.astype(np.float64)  # of blocks not chosen it stays below the bound
-        use = chosen[block]
-        self.add(cos, part[use], x[use])
         if skip >= 0:
-            cos[skip] = 0
-        best = cos.reshape(self.blocks, BLOCK)[first].ravel()
-        floor = np.partition(best, len(best) - k)[len(best) - k] if len(best) > k else 0.0
-        rest = ~chosen & (bound > 0) & (bound >= floor - SLACK)
-        if rest.any():
-            use = rest[block]
-            self.add(cos, part[use], x[use])
+            dense[skip] = 0
+        cos = dense.astype(np.float64)
+        # what the frequent terms alone make is already a floor; blocks that cannot exceed it keep their part of the cosine
+        floor = np.partition(cos, len(cos) - k)[len(cos) - k] if len(cos) > k else 0.0
+        open_blocks = (bound > 0) & (bound >= floor - SLACK)
+        if not open_blocks.all():
+            use = open_blocks[block]
+            part, x = part[use], x[use]
+        self.add(cos, part, x)
         if skip >= 0:
             cos[skip] = 0
         floor = np.partition(cos, len(cos) - k)[len(cos) - k] if len(cos) > k else 0.0
         near = np.flatnonzero((cos >= floor - SLACK) & (cos > 0))
-        exact = cos[near] - dense[near] + w[row >= 0] @ self.full[np.ix_(row[row >= 0], near)].astype(np.float64)
+        exact = cos[near] - dense[near] + self.full[np.ix_(near, row[common])].astype(np.float64) @ w[common]
         exact = np.round(np.minimum(exact, 1.0), 12)
         top = np.lexsort((near, -exact))[:k]
         top = top[exact[top] > 0]
@@ -205,20 +201,36 @@ def calibrate(votes: np.ndarray, y: np.ndarray, mass: np.ndarray) -> tuple[float
     return max(a, 0.05), b
 
 
-def document_frequencies(texts: DataFrame, vocabulary: dict[str, int]) -> np.ndarray:
-    """Documents of texts(t) that have each term of the sample's vocabulary, counted inside the JVM; the last entry counts all documents.
+def counted(shared):
+    """Document frequencies of the vocabulary, one row per term and task; term -1 counts the documents."""
 
-    The vocabulary comes from the bounded sample, so it may be broadcast; other terms leave before anything is gathered.
-    """
-    spark = texts.sparkSession
-    terms = pa.table({"term": list(vocabulary), "number": np.arange(len(vocabulary))})
-    words = F.array_distinct(F.regexp_extract_all(F.lower("t"), F.lit(WORD), F.lit(0)))
-    stems = F.transform(F.filter("w", lambda w: F.length(w) > STEM), lambda w: F.concat(F.substring(w, 1, STEM), F.lit("*")))
-    rows = texts.select(words.alias("w")).select(F.explode(F.concat("w", F.array_distinct(stems))).alias("term"))
-    found = rows.join(F.broadcast(spark.createDataFrame(terms)), "term").groupBy("number").agg(F.count("*").alias("n")).toArrow()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, documents = shared.value, 0
+        df = np.zeros(len(vocabulary), np.int64)
+        for batch in batches:
+            documents += batch.num_rows
+            for part in slices(batch):
+                found: Counter = Counter()
+                for t in part.column("text").to_pylist():
+                    words = set(letter_words(t.decode("utf-8", "replace").lower()))
+                    found.update(words)
+                    found.update({w[:STEM] + "*" for w in words if len(w) > STEM})
+                at = np.fromiter(map(vocabulary.get, found, repeat(-1)), np.int64, len(found))
+                n = np.fromiter(found.values(), np.int64, len(found))
+                df[at[at >= 0]] += n[at >= 0]
+        terms = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(-1, terms)), pa.array(np.append(documents, df[terms]))], names=["term", "n"])
+
+    return run
+
+
+def document_frequencies(docs: DataFrame, vocabulary: dict[str, int], id_col: str, text_col: str) -> np.ndarray:
+    """Documents that have each term of the sample's vocabulary, which is bounded as the sample is; the last entry counts all documents."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    found = id_text(docs, id_col, text_col).mapInArrow(counted(shared), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    shared.destroy()
     df = np.zeros(len(vocabulary) + 1, np.int64)
-    df[found.column("number").to_numpy()] = found.column("n").to_numpy()
-    df[-1] = texts.count()
+    df[found.column("term").to_numpy()] = found.column("n").to_numpy()
     return df
 
 
@@ -240,7 +252,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     samples = [(r.id, r.y, tuple(z.astype(np.int32) for z in terms.of(r.t))) for r in rows]
     rows, vocabulary = [], terms.vocabulary
     known = len(vocabulary)
-    df = document_frequencies(docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t")), vocabulary)
+    df = document_frequencies(docs, vocabulary, id_col, text_col)
     with_term = {c: np.zeros(known) for c in (0, 1)}
     for _, y, (t, _) in samples:
         with_term[y][t] += 1
