@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .index import build_index, compact, load_index
 from .operators import evaluate, experiments, rank, reindex
 from .sources import ciff, readers, writers
-from .storage import exists
+from .storage import exists, staging
 
 
 def _queries(spark: SparkSession, name: str) -> DataFrame:
@@ -174,7 +174,9 @@ def parser() -> argparse.ArgumentParser:
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> None:
     a = parser().parse_args(argv)
-    a.execute(spark or SparkSession.builder.appName("quern").getOrCreate(), a)
+    spark = spark or SparkSession.builder.appName("quern").getOrCreate()
+    with staging(spark):  # every command writes or prints its result
+        a.execute(spark, a)
 
 
 if __name__ == "__main__":
