@@ -285,13 +285,13 @@ GROUPED = {
     "stats": PARTS["stats"].replace("FROM dict)", "FROM dict0)"),
 } | {n: PARTS[n] for n in ("q", "qt", "qd", "m")}
 GROUPED["cost"] = "SELECT qid, count(*) AS postings_cost FROM (SELECT DISTINCT qid, termid, docid FROM m) GROUP BY qid"
-GRAMS = f"SELECT trim(ngram) AS term FROM ({sql.NGRAMS.format(n=2)}) GROUP BY ngram HAVING count(*) >= 40"
+GRAMS = f"SELECT trim(w1 || ' ' || w2) AS term FROM ({sql.PAIRS.replace('>= 10', '>= 40')})"
 SQL = {
     "file_queries": "SELECT CAST(item_id AS VARCHAR) AS qid, regexp_replace(text, '[\\t\\n\\r]+', ' ', 'g') AS text FROM benchmark",
     "file_qrels": chain("SELECT CAST(qid AS VARCHAR) AS qid, CAST(doc_id AS VARCHAR) AS docno, rel FROM rel WHERE rel <> 0", "rel"),
     "file_priors": "SELECT CAST(doc_id AS VARCHAR) AS did, CAST(quality + 1 AS DOUBLE) AS prior FROM labels",
     "file_run": chain("SELECT CAST(qid AS VARCHAR) AS qid, docno, rank, score, 'lm' AS tag, postings_cost FROM run", *SEARCH, **lm()),
-    "file_ngrams": chain("SELECT DISTINCT term FROM g WHERE term <> ''", "d", "w", g=GRAMS),
+    "file_ngrams": chain("SELECT DISTINCT term FROM g WHERE term <> ''", *TOKENS, g=GRAMS),
     "file_corpus": "SELECT concat_ws('-', conv_id, turn) AS did, concat_ws(' ', role, text) AS content FROM conversations",
     "file_split_queries": "SELECT item_id AS qid, regexp_replace(text, '[\\t\\n\\r]+', ' ', 'g') AS text FROM benchmark",
     "file_sample": sql.SQL["sample_by_values"],
