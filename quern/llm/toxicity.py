@@ -119,11 +119,13 @@ class Index:
         # the others as lists by term, then example; a list has a part for every block that holds its term
         rare = np.flatnonzero(at < 0)
         rare = rare[np.argsort(term[rare], kind="stable")]
-        term, self.doc, self.weight = term[rare], doc[rare], weight[rare]
-        cell = term.astype(np.int64) * max(1, self.blocks) + self.doc // BLOCK
+        term, doc, weight = term[rare], doc[rare], weight[rare]
+        self.posting = np.empty(len(term), np.dtype([("doc", np.int32), ("weight", np.float32)]))  # side by side: one fetch
+        self.posting["doc"], self.posting["weight"] = doc, weight
+        cell = term.astype(np.int64) * max(1, self.blocks) + doc // BLOCK
         first = np.flatnonzero(np.diff(cell, prepend=-1))
-        self.part, self.block = np.append(first, len(cell)).astype(np.int32), (self.doc[first] // BLOCK).astype(np.int32)
-        self.best = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0, np.float32)
+        self.part, self.block = np.append(first, len(cell)).astype(np.int32), (doc[first] // BLOCK).astype(np.int32)
+        self.best = np.maximum.reduceat(weight, first) if len(first) else np.zeros(0, np.float32)
         self.start = np.searchsorted(term[first], np.arange(v + 1)).astype(np.int32)
 
     def add(self, cos: np.ndarray, part: np.ndarray, x: np.ndarray) -> None:
@@ -132,8 +134,8 @@ class Index:
             return
         first = np.flatnonzero((np.diff(part, prepend=-2) != 1) | (np.diff(x, prepend=-1.0) != 0))
         a, b = self.part[part[first]], self.part[part[np.append(first[1:], len(part)) - 1] + 1]
-        at = spans(a, b)
-        cos += np.bincount(self.doc[at], np.repeat(x[first], b - a) * self.weight[at], len(cos))
+        found = self.posting.view(np.int64)[spans(a, b)].view(self.posting.dtype)
+        cos += np.bincount(found["doc"], np.repeat(x[first], b - a) * found["weight"], len(cos))
 
     def nearest(self, t: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         return self.all_nearest([(t, w)], k, [skip])[0]
