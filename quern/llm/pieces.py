@@ -74,7 +74,6 @@ class Transducer(dict):
                 self.bytes[int(p[3:5], 16)] = i
                 self.byte_of[i] = int(p[3:5], 16)
             self.outputs.append(p if kind == NORMAL else "" if kind == 3 else " ⁇ ")
-        self.number = list(range(len(pieces)))  # one object an id, so that remembered paths share them
         self.pairs: dict[int, float] = {}
         self.held = 0
         self.unknown = min(self.scores[i] for i in self.ids.values()) - UNKNOWN_PENALTY
@@ -133,8 +132,8 @@ class Transducer(dict):
                 out.append((j + 1, k))
         return out or [(i + 1, BYTES)]
 
-    def stable_path(self, text: str) -> list[tuple[int, int]]:
-        """(end, piece) along a path of finite weight. Of a state's arcs the longest is weighed first; a state that leads nowhere is left for good.
+    def stable_path(self, text: str) -> tuple[list[int], list[int]]:
+        """(ends, pieces) along a path of finite weight. Of a state's arcs the longest is weighed first; a state that leads nowhere is left for good.
 
         What is held is one frame a piece: its end, the piece and how many arcs behind it were weighed.
         """
@@ -152,7 +151,8 @@ class Transducer(dict):
                     arcs.append((j + 1, k))
             if not arcs:
                 arcs.append((i + 1, BYTES))
-            for j, k in reversed(arcs[: len(arcs) - turn] if turn else arcs):
+            arcs.reverse()
+            for j, k in arcs[turn:] if turn else arcs:
                 turn += 1
                 if dead and (j << 20 | k) in dead:
                     continue
@@ -172,10 +172,10 @@ class Transducer(dict):
                 path.pop()
                 turns.pop()
                 i, before, turn = ends[-1], path[-1], turns[-1]
-        return list(zip(ends[1:], path[1:], strict=True))
+        return ends[1:], path[1:]
 
-    def lightest_path(self, text: str) -> list[tuple[int, int]]:
-        """(end, piece) along the path of least weight of a unigram model: positions are relaxed from left to right."""
+    def lightest_path(self, text: str) -> tuple[list[int], list[int]]:
+        """(ends, pieces) along the path of least weight of a unigram model: positions are relaxed from left to right."""
         n = len(text)
         weight, via = np.full(n + 1, np.inf, np.float32), [(0, START)] * (n + 1)
         weight[0] = 0
@@ -187,21 +187,21 @@ class Transducer(dict):
                 w = weight[i] - np.float32(self.unknown if k == BYTES else self.scores[k])
                 if w < weight[j]:
                     weight[j], via[j] = w, (i, k)
-        out = []
+        ends, path = [], []
         while n:
-            i, k = via[n]
-            out.append((n, k))
-            n = i
-        return out[::-1]
+            ends.append(n)
+            n, k = via[n]
+            path.append(k)
+        return ends[::-1], path[::-1]
 
     def labels(self, text: str) -> tuple[int, ...]:
         """The ids along the least path over ``text``."""
-        number, out, start = self.number, [], 0
-        for end, k in self.lightest_path(text) if self.kind == UNIGRAM else self.stable_path(text):
-            if k >= 0:
-                out.append(number[k])
-            else:
-                out += [number[self.bytes[b]] for b in text[start:end].encode("utf-8", "surrogatepass")]
+        ends, path = self.lightest_path(text) if self.kind == UNIGRAM else self.stable_path(text)
+        if BYTES not in path:
+            return tuple(path)
+        out, start = [], 0
+        for end, k in zip(ends, path, strict=True):
+            out += [k] if k >= 0 else [self.bytes[b] for b in text[start:end].encode("utf-8", "surrogatepass")]
             start = end
         return tuple(out)
 
