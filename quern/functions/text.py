@@ -1,20 +1,29 @@
-"""Text scalars and tokenizers, all inside the JVM."""
+"""Text scalars and tokenizers; inside the JVM but for word counts and the longest match over many terms."""
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import stage
+
 #: Runs of digits and ASCII punctuation become one space; words are parted by these blanks.
 NOISE = r"[0-9\p{Punct}]+"
 BLANK = r"[ \t\n\f\r]+"
-#: A vocabulary up to this many terms is compiled into one pattern; a larger one is joined.
-PATTERN_TERMS = 50_000
+#: A vocabulary up to this many terms is compiled into one pattern.
+PATTERN_TERMS = 200
+#: A larger one of up to this many bytes is sent to the texts (some ten times that in a Python worker); beyond, it is joined.
+SENT_BYTES = 32 << 20
+#: Sent terms are looked up by lengths that go with their first letters.
+HEAD = 4
 
 
 def _accents() -> tuple[str, str, str]:
@@ -50,6 +59,26 @@ def regex_tokens(col: Column) -> Column:
     return F.split(clean(col), BLANK)
 
 
+def word_counts(df: DataFrame, words: Column) -> DataFrame:
+    """``df`` with ``terms``, the distinct ``words`` of each row with their number, [(term, tf)]: no row leaves its task."""
+    rows = df.withColumn("terms", F.coalesce(words, F.array().cast("array<string>")))
+    schema = df.withColumn("terms", F.array(F.struct(F.lit("").alias("term"), F.lit(0).cast("long").alias("tf")))).schema
+    return rows.mapInArrow(_counted, schema)
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last column, lists of words, as lists of distinct words with their numbers."""
+    for batch in batches:
+        words = batch.column(batch.num_columns - 1)
+        codes = words.flatten().dictionary_encode()
+        size = max(len(codes.dictionary), 1)
+        row = np.repeat(np.arange(batch.num_rows), np.diff(words.offsets.to_numpy()))
+        keys, tf = np.unique(row * size + codes.indices.to_numpy(), return_counts=True)
+        pairs = pa.StructArray.from_arrays([codes.dictionary.take(pa.array(keys % size)), pa.array(tf, pa.int64())], names=["term", "tf"])
+        starts = np.searchsorted(keys // size, np.arange(batch.num_rows + 1))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pairs)], names=batch.schema.names)
+
+
 def trie_pattern(terms: list[str]) -> str:
     """A pattern whose leftmost match is the longest term at that place."""
     root: dict = {}
@@ -81,13 +110,19 @@ def longest_match_tokens(col: Column, pattern: str) -> Column:
 def longest_match(df: DataFrame, id_col: str, text_col: str, vocabulary: DataFrame) -> DataFrame:
     """(id, tokens) by greedy longest match over ``vocabulary(term)``.
 
-    Small vocabularies become one pattern. Large ones are joined: a text's substrings of every length that a term has meet the
-    terms, and a walk over the matches takes them greedily. Only matches are gathered by text, never substrings.
+    Small vocabularies become one pattern. Larger ones go to the texts, which stay where they are. Only those beyond ``SENT_BYTES``
+    are joined: a text's substrings of every length that a term has meet the terms, and a walk over the matches takes them greedily.
+    Only matches are gathered by text, never substrings.
     """
-    terms = vocabulary.select("term").where("term <> ''").distinct()
-    head = [r.term for r in terms.limit(PATTERN_TERMS + 1).collect()]
-    if len(head) <= PATTERN_TERMS:
-        return df.select(F.col(id_col), longest_match_tokens(F.col(text_col), trie_pattern(head)).alias("tokens"))
+    terms = stage(vocabulary.select("term").where("term <> ''").distinct(), "terms")
+    n, held = terms.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("term")), F.lit(0))).first()
+    if n <= PATTERN_TERMS:
+        return df.select(F.col(id_col), longest_match_tokens(F.col(text_col), trie_pattern([r.term for r in terms.collect()])).alias("tokens"))
+    if held <= SENT_BYTES:
+        sent = df.sparkSession.sparkContext.broadcast(terms.toArrow().column("term").combine_chunks())
+        rows = df.select(F.col(id_col), F.col(text_col).alias("tokens"))
+        schema = rows.select(id_col, F.array("tokens").alias("tokens")).schema
+        return rows.mapInArrow(_matched_in(sent), schema)
     lengths = sorted(r[0] for r in terms.select(F.length("term")).distinct().collect())
     rows = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
     at = None
@@ -103,6 +138,58 @@ def longest_match(df: DataFrame, id_col: str, text_col: str, vocabulary: DataFra
     return out.select(id_col, F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens"))
 
 
+class Terms:
+    """Greedy longest matches over a set of terms: at a place only lengths are tried that a term with these first letters has."""
+
+    def __init__(self, terms: list[str]):
+        self.terms = set(terms)
+        lengths: dict[str, set[int]] = {}
+        for t in self.terms:
+            if len(t) >= HEAD:
+                lengths.setdefault(t[:HEAD], set()).add(len(t))
+        kept: dict[tuple, tuple] = {}  # many first letters have the same lengths
+        self.lengths = {h: kept.setdefault(k, k) for h, n in lengths.items() for k in [tuple(sorted(n, reverse=True))]}
+        self.short = tuple(sorted({len(t) for t in self.terms if len(t) < HEAD}, reverse=True))
+
+    def tokens(self, s: str) -> list[str]:
+        out, at, end = [], 0, len(s)
+        terms, lengths, short = self.terms, self.lengths, self.short
+        while at < end:
+            for n in lengths.get(s[at : at + HEAD], ()):
+                if (t := s[at : at + n]) in terms:
+                    break
+            else:
+                for n in short:
+                    if (t := s[at : at + n]) in terms:
+                        break
+                else:
+                    at += 1
+                    continue
+            out.append(t)
+            at += len(t)
+        return out
+
+
+#: The terms that this Python worker used last, by the name of their broadcast.
+_last_terms: dict[str, Terms] = {}
+
+
+def _matched_in(sent: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(id, tokens) of (id, text), for terms sent to all workers."""
+    key = uuid.uuid4().hex
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if key not in _last_terms:
+            _last_terms.clear()
+            _last_terms[key] = Terms(sent.value.to_pylist())
+        find = _last_terms[key].tokens
+        for batch in batches:
+            out = [find(s) if s else [] for s in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.string()))], names=batch.schema.names)
+
+    return match
+
+
 def _greedy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, tokens) of (id, matches in order of place and length): the longest at a place, then on behind it."""
     for batch in batches:

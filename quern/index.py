@@ -112,8 +112,17 @@ def number_documents(corpus: DataFrame) -> DataFrame:
 
 def regex_counts(docs: DataFrame, stopwords: list[str] | None = None, stemmer: str = "none") -> DataFrame:
     """(docid, term, tf) of the non-empty words that are not stop words, stemmed."""
-    words = docs.select("docid", F.explode(text.regex_tokens(F.col("content"))).alias("term")).where("term <> ''")
-    counts = without_words(words, stopwords, "term").groupBy("docid", "term").agg(F.count("*").alias("tf"))
+    rows = text.word_counts(docs.select("docid", "content"), words_of(F.col("content"))).select("docid", "terms")
+    return listed_counts(rows, stopwords, stemmer)
+
+
+def words_of(content):
+    return F.filter(text.regex_tokens(content), lambda w: w != "")
+
+
+def listed_counts(lists: DataFrame, stopwords: list[str] | None = None, stemmer: str = "none") -> DataFrame:
+    """(docid, term, tf) of lists(docid, terms) without the stop words, stemmed."""
+    counts = without_words(lists.select("docid", F.inline("terms")), stopwords, "term")
     if stemmer == "none":
         return counts
     stems = stemmers.stem_terms(counts.select("term").distinct(), "term", stemmer)
@@ -131,7 +140,7 @@ def longest_counts(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(docid, term, tf) of the greedy longest matches of ``vocabulary(term)`` in the cleaned texts."""
     cleaned = docs.select("docid", text.clean(F.col("content")).alias("content"))
     found = text.longest_match(cleaned, "docid", "content", vocabulary)
-    return found.select("docid", F.explode("tokens").alias("term")).groupBy("docid", "term").agg(F.count("*").alias("tf"))
+    return text.word_counts(found.select("docid", "tokens"), F.col("tokens")).select("docid", F.inline("terms"))
 
 
 def document_frequencies(counts: DataFrame) -> DataFrame:
