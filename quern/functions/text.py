@@ -59,10 +59,11 @@ def regex_tokens(col: Column) -> Column:
     return F.split(clean(col), BLANK)
 
 
-def word_counts(df: DataFrame, words: Column) -> DataFrame:
-    """``df`` with ``terms``, the distinct ``words`` of each row with their number, [(term, tf)]: no row leaves its task."""
-    rows = df.withColumn("terms", F.coalesce(words, F.array().cast("array<string>")))
-    schema = df.withColumn("terms", F.array(F.struct(F.lit("").alias("term"), F.lit(0).cast("long").alias("tf")))).schema
+def word_counts(df: DataFrame, words: Column, out: str = "terms") -> DataFrame:
+    """``df`` with ``out`` as its last column, the distinct ``words`` of each row with their number, [(term, tf)]: no row leaves its task."""
+    others = [c for c in df.columns if c != out]
+    rows = df.select(*others, F.coalesce(words, F.array().cast("array<string>")).alias(out))
+    schema = df.select(*others, F.array(F.struct(F.lit("").alias("term"), F.lit(0).cast("long").alias("tf"))).alias(out)).schema
     return rows.mapInArrow(_counted, schema)
 
 

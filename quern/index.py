@@ -6,7 +6,7 @@ import uuid
 from dataclasses import dataclass, replace
 from functools import cached_property, reduce
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import stemmers, text
@@ -16,6 +16,8 @@ from .storage import exists, number_rows, remove, replace_text, shared_dir, stag
 
 TABLES = ("docs", "dict", "postings", "fields", "stopwords", "stats")
 CURRENT = "CURRENT"
+#: A vocabulary of up to so many terms (some 10 MB) is sent to the counts; a larger one is joined by a shuffle.
+SENT_TERMS = 200_000
 
 
 @dataclass(frozen=True)
@@ -41,6 +43,11 @@ class Index:
     def has_many_fields(self) -> bool:
         return self.fields.limit(2).count() > 1
 
+    @cached_property
+    def has_own_names(self) -> bool:
+        """Whether no two documents share a name."""
+        return self.docs.groupBy("name").count().where("count > 1").isEmpty()
+
     def with_(self, **tables: DataFrame) -> Index:
         return replace(self, **tables)
 
@@ -106,25 +113,43 @@ def compact(spark: SparkSession, path: str, cluster: bool = True) -> Index:
 
 def number_documents(corpus: DataFrame) -> DataFrame:
     """(docid, name, content): corpus(did, content) numbered from 1 in the order of did; null names go, null content is empty."""
-    rows = corpus.select(F.col("did").cast("string").alias("name"), F.coalesce(F.col("content").cast("string"), F.lit("")).alias("content"))
-    return number_rows(rows.where("name IS NOT NULL"), "docid", "name")
+    return number_rows(named_texts(corpus, "content"), "docid", "name")
+
+
+def named_texts(corpus: DataFrame, *fields: str) -> DataFrame:
+    """(name, fields) of corpus(did, fields): null names go, null texts are empty."""
+    rows = corpus.select(F.col("did").cast("string").alias("name"), *(F.coalesce(F.col(f).cast("string"), F.lit("")).alias(f) for f in fields))
+    return rows.where("name IS NOT NULL")
+
+
+def numbered_counts(corpus: DataFrame, *fields: str) -> DataFrame:
+    """(docid, name, and for each field the counts of its words, [(term, tf)]): the text moves once and is not staged."""
+
+    def count(rows: DataFrame) -> DataFrame:
+        for f in fields:
+            rows = text.word_counts(rows, words_of(F.col(f)), f)
+        return rows
+
+    return number_rows(named_texts(corpus, *fields), "docid", "name", then=count)
 
 
 def regex_counts(docs: DataFrame, stopwords: list[str] | None = None, stemmer: str = "none") -> DataFrame:
     """(docid, term, tf) of the non-empty words that are not stop words, stemmed."""
     rows = text.word_counts(docs.select("docid", "content"), words_of(F.col("content"))).select("docid", "terms")
-    return listed_counts(rows, stopwords, stemmer)
+    counts = listed_counts(rows, stopwords)
+    return counts if stemmer == "none" else stemmed_counts(counts, stemmer)
 
 
-def words_of(content):
+def words_of(content: Column) -> Column:
     return F.filter(text.regex_tokens(content), lambda w: w != "")
 
 
-def listed_counts(lists: DataFrame, stopwords: list[str] | None = None, stemmer: str = "none") -> DataFrame:
-    """(docid, term, tf) of lists(docid, terms) without the stop words, stemmed."""
-    counts = without_words(lists.select("docid", F.inline("terms")), stopwords, "term")
-    if stemmer == "none":
-        return counts
+def listed_counts(lists: DataFrame, stopwords: list[str] | None = None) -> DataFrame:
+    """(docid, term, tf) of lists(docid, terms) without the stop words."""
+    return without_words(lists.select("docid", F.inline("terms")), stopwords, "term")
+
+
+def stemmed_counts(counts: DataFrame, stemmer: str) -> DataFrame:
     stems = stemmers.stem_terms(counts.select("term").distinct(), "term", stemmer)
     return counts.join(stems, "term").groupBy("docid", F.col("stem").alias("term")).agg(F.sum("tf").alias("tf"))
 
@@ -156,11 +181,16 @@ def top_terms(frequencies: DataFrame, most: int) -> DataFrame:
 def assemble(
     docs: DataFrame, counts: DataFrame, vocabulary: DataFrame, stopwords: list[str], index_type: str, stemmer: str, tokenizer: str, fields: tuple[str, ...] = ("content",)
 ) -> Index:
-    """The index of ``counts(docid, term, tf [, fieldid])`` over ``vocabulary(termid, term, df)``."""
+    """The index of ``counts(docid, term, tf [, fieldid])`` over ``vocabulary(termid, term, df)``, which has every term counted.
+
+    Only the postings meet the vocabulary, once and without a sort; lengths come from the counts.
+    """
     spark = docs.sparkSession
     field = F.col("fieldid") if "fieldid" in counts.columns else F.lit(0).cast("long").alias("fieldid")
-    postings = counts.join(vocabulary.select("termid", "term"), "term").select("termid", "docid", field, "tf")
-    lengths = postings.groupBy("docid").agg(F.sum("tf").alias("len"))
+    ids = vocabulary.select("termid", "term")
+    ids = F.broadcast(ids) if ids.count() <= SENT_TERMS else ids.hint("shuffle_hash")
+    postings = counts.join(ids, "term").select("termid", "docid", field, "tf")
+    lengths = counts.groupBy("docid").agg(F.sum("tf").alias("len"))
     docs = docs.select("docid", "name").join(lengths, "docid", "left").withColumn("len", F.coalesce("len", F.lit(0)))
     sizes = docs.agg(F.count("*").alias("num_docs"), F.avg("len").alias("avgdl"))
     stats = sizes.join(vocabulary.agg(F.coalesce(F.sum("df"), F.lit(0)).alias("sumdf"))).withColumns(
@@ -184,12 +214,17 @@ def build_index(
     if mode not in ("standard", "words", "phrases"):
         raise ValueError(f"unknown mode {mode!r}")
     stop = stop_words(corpus.sparkSession, stopwords)
-    docs = number_documents(corpus)
+    again = mode == "phrases" or (mode == "words" and limit > 0)  # texts are matched against a vocabulary
+    docs = number_documents(corpus) if again else numbered_counts(corpus, "content")
     if mode == "phrases":
         vocabulary = stage(phrase_vocabulary(docs, "content", min_freq, min_pmi, stop).select("term").distinct(), "vocabulary")
         counts = stage(longest_counts(docs, vocabulary), "counts")
+    elif again:
+        counts = stage(regex_counts(docs, stop), "counts")
     else:
-        counts = stage(regex_counts(docs, stop, stemmer if mode == "standard" else "none"), "counts")
+        counts = listed_counts(docs.select("docid", F.col("content").alias("terms")), stop)
+        if mode == "standard" and stemmer != "none":
+            counts = stage(stemmed_counts(counts, stemmer), "counts")
     if mode != "standard" and limit > 0:
         kept = stage(top_terms(document_frequencies(counts), limit), "top-terms")
         counts = stage(longest_counts(docs, kept), "counts")
@@ -206,10 +241,15 @@ def build_fielded_index(corpus: DataFrame, fields: tuple[str, ...], stemmer: str
     A document's length and a term's df count all fields together.
     """
     stop = stop_words(corpus.sparkSession, stopwords)
-    rows = corpus.select(F.col("did").cast("string").alias("name"), *(F.coalesce(F.col(f).cast("string"), F.lit("")).alias(f) for f in fields))
-    docs = stage(number_rows(rows.where("name IS NOT NULL"), "docid", "name"), "fielded-docs")
-    parts = [regex_counts(docs.select("docid", F.col(f).alias("content")), stop, stemmer).withColumn("fieldid", F.lit(i).cast("long")) for i, f in enumerate(fields)]
-    counts = stage(reduce(DataFrame.unionByName, parts), "fielded-counts")
-    per_document = counts.select("docid", "term").distinct()
+    docs = numbered_counts(corpus, *fields)
+    parts = [listed_counts(docs.select("docid", F.col(f).alias("terms")), stop).withColumn("fieldid", F.lit(i).cast("long")) for i, f in enumerate(fields)]
+    counts = reduce(DataFrame.unionByName, parts)
+    if stemmer == "none":
+        held = F.array_distinct(F.concat(*(F.transform(f, lambda x: x["term"]) for f in fields)))  # a term of several fields counts once
+        per_document = without_words(docs.select("docid", F.explode(held).alias("term")), stop, "term")
+    else:
+        parts = [stemmed_counts(p.drop("fieldid"), stemmer).withColumn("fieldid", F.lit(i).cast("long")) for i, p in enumerate(parts)]
+        counts = stage(reduce(DataFrame.unionByName, parts), "fielded-counts")
+        per_document = counts.select("docid", "term").distinct()
     vocabulary = number_rows(document_frequencies(per_document), "termid", "term")
     return assemble(docs, counts, vocabulary, stop, "standard", stemmer, "regex", fields)

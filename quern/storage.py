@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -60,15 +60,16 @@ def staging(spark: SparkSession) -> Iterator[None]:
             remove(spark, _staged.pop())
 
 
-def number_rows(df: DataFrame, out: str, *order) -> DataFrame:
+def number_rows(df: DataFrame, out: str, *order, then: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """``df`` with ``out`` = 1, 2, ... in the given order.
 
     Rows are dealt by ranges of the order and numbered within their range; only the ranges' sizes, one row a
     partition, meet in one task. Staged between the two, as a second evaluation could cut other ranges.
-    Ties get any order among themselves.
+    Ties get any order among themselves. ``then`` changes columns, not rows, of what is dealt: only its result is staged.
     """
     local = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     dealt = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    dealt = dealt if then is None else then(dealt)
     rows = stage(dealt.select("*", F.spark_partition_id().alias("__part"), local.alias("__at")), f"numbered-{out}")
     before = F.sum("__n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1))
     offsets = rows.groupBy("__part").agg(F.count("*").alias("__n")).select("__part", F.coalesce(before, F.lit(0)).alias("__before"))

@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.functions import text
+from quern.index import build_fielded_index, build_index, number_documents, regex_counts
+from quern.operators import rank, reindex
 from tests.test_text import greedy
 
 
@@ -31,3 +33,53 @@ def test_words_of_a_row_are_counted_where_it_is(spark):
     got = text.word_counts(spark.createDataFrame(rows, "id long, w array<string>").coalesce(1), F.col("w")).select("id", "terms")
     assert {r.id: {x.term: x.tf for x in r.terms} for r in got.collect()} == {1: {"a": 1, "b": 2}, 2: {}, 3: {}, 4: {"": 1, "é": 3}}
     assert exchanges(got) == 0
+
+
+def collection(spark, n=60, names=lambda i: f"d{i:03}"):
+    rng = random.Random(5)
+    rows = [(names(i), " ".join(rng.choice("abcdefghij") * 2 for _ in range(rng.randrange(0, 12))), rng.choice(("aa", "bb cc", ""))) for i in range(n)]
+    queries = [(i, " ".join(rng.choice("abcdefghijz") * 2 for _ in range(5))) for i in range(12)] + [(90, "zz"), (91, "")]
+    return spark.createDataFrame(rows, "did string, body string, title string"), spark.createDataFrame(queries, "qid long, text string")
+
+
+def same(index, queries, model, **params):
+    terms = rank.asked_terms(index, queries)
+    key = lambda df: {(r.qid, r.rank): (r.docid, r.name, r.score if r.score is None else repr(round(r.score, 8))) for r in df.collect()}
+    got = rank.best_documents(index, queries, terms, model, 7, **params)
+    want = key(rank.top_k(rank.score(index, queries, model, terms=terms, **params), 7))
+    assert key(got) == want and want
+    return got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_best_documents_equal_the_general_ranking(spark, monkeypatch):
+    monkeypatch.setattr(rank, "CELLS", 40)  # many blocks and prunings
+    corpus, queries = collection(spark)
+    index = build_index(corpus.withColumnRenamed("body", "content")).staged()
+    plan = same(index, queries, "lm")
+    assert "MapInArrow" in plan and "hashpartitioning(qid" in plan and ", name#" not in plan.split("MapInArrow")[0].split("hashpartitioning")[1].split(")")[0]
+    same(index, queries, "bm25")
+    same(index, queries, "lm", conjunctive=True)
+    same(reindex.fitted(reindex.with_priors(index, init="len"), "prior", total=5).staged(), queries, "lm_fitted_prior")
+    same(reindex.grouped(index, "porter").staged(), queries, "bm25")
+    some = index.docs.select(F.col("name").alias("did"), (F.col("docid") % 4 - 1.0).alias("prior")).where("prior < 2")
+    same(reindex.with_priors(index, some), queries, "lm_prior")  # NaN, minus infinity, numbers and null
+
+
+def test_best_documents_of_fields_and_of_one_name(spark):
+    corpus, queries = collection(spark)
+    index = build_fielded_index(corpus, ("title", "body")).staged()
+    for fields in (None, ["body"], ["title"]):
+        same(index, queries, "lm", fields=fields)
+    corpus, queries = collection(spark, names=lambda i: f"d{i // 2}")
+    same(build_index(corpus.withColumnRenamed("body", "content")).staged(), queries, "lm")
+    assert "MapInArrow" in same(build_index(corpus.withColumnRenamed("body", "content")).staged(), queries, "bm25")
+
+
+def test_words_are_counted_without_moving_them(spark):
+    corpus, _ = collection(spark)
+    counts = regex_counts(number_documents(corpus.withColumnRenamed("body", "content")))
+    assert "hashpartitioning(docid" not in counts._jdf.queryExecution().executedPlan().toString()
+    fielded = build_fielded_index(corpus.withColumnRenamed("title", "terms"), ("terms", "body"), stopwords=["aa"])
+    df = {r.term: r.df for r in fielded.dict.collect()}
+    rows = [set((r.terms + " " + r.body).split()) - {"aa"} for r in corpus.withColumnRenamed("title", "terms").collect()]
+    assert df == {w: sum(w in r for r in rows) for w in set().union(*rows)}
