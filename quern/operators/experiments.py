@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.prob import sign_test_p
 from ..index import Index, build_index
@@ -124,12 +127,18 @@ def _substrings(col: str, n: int) -> Column:
 def containments(texts: DataFrame, needles: DataFrame) -> DataFrame:
     """texts(id, text) with each needles(needle_id, needle) they contain: (id, needle_id). Empty needles and nulls match nothing.
 
-    Ids are distinct. Few needles are sent to the texts. Many meet the texts' substrings by the needle's first letters; only
+    Ids are distinct. Few needles are sent to the texts, and looked for by a search that leaps over what can't match. Many meet the texts' substrings by the needle's first letters; only
     the ids and those letters move, and a text is fetched once, together with all needles that it may contain.
     """
     wanted = needles.where(F.length("needle") > 0)
-    if wanted.limit(FEW_NEEDLES + 1).count() <= FEW_NEEDLES:
-        return texts.join(F.broadcast(wanted), F.contains("text", "needle")).select("id", "needle_id")
+    some = wanted.select("needle_id", "needle").limit(FEW_NEEDLES + 1).collect()
+    if len(some) <= FEW_NEEDLES:
+        given = T.StructType([T.StructField("nr", T.IntegerType()), T.StructField("needle_id", wanted.schema["needle_id"].dataType)])
+        ids = texts.sparkSession.createDataFrame([(i, r.needle_id) for i, r in enumerate(some)], given)
+        found = texts.select("id", F.col("text").cast("string").alias("text")).mapInArrow(
+            _holding([r.needle for r in some]), T.StructType([T.StructField("id", texts.schema["id"].dataType), T.StructField("nr", T.IntegerType())])
+        )
+        return found.join(F.broadcast(ids), "nr").select("id", "needle_id")
     keyed = texts.select("id", F.explode(_substrings("text", KEY)).alias("key"))
     long = wanted.where(F.length("needle") >= KEY).withColumn("key", F.substring("needle", 1, KEY))
     maybe = keyed.join(long, "key").groupBy("id").agg(F.collect_list(F.struct("needle_id", "needle")).alias("maybe"))
@@ -141,6 +150,19 @@ def containments(texts: DataFrame, needles: DataFrame) -> DataFrame:
     return out
 
 
+def _holding(needles: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(id, nr) of (id, text): the places of the needles that a text contains."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            found = [(i, nr) for i, t in enumerate(texts) if t for nr, n in enumerate(needles) if n in t]
+            rows, nrs = (pa.array([x[k] for x in found], pa.int32()) for k in range(2))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), nrs], names=["id", "nr"])
+
+    return run
+
+
 def queries_with_ngrams(queries: DataFrame, ngrams: DataFrame, least: int = 2) -> DataFrame:
     """queries(qid, text) whose text contains at least ``least`` of ngrams(term), with their number; case means nothing."""
     texts = queries.select(F.col("qid").alias("id"), F.lower("text").alias("text"))
