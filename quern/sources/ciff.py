@@ -8,9 +8,10 @@ from __future__ import annotations
 
 import gzip
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +24,12 @@ from ..storage import remove, shared_dir, stage
 VERSION = 1
 #: Frames are handed to Spark in batches of so many bytes.
 BATCH_BYTES = 32 << 20
+#: Executors hand frames to the file in pieces of some so many bytes.
+BLOB_BYTES = 4 << 20
+#: Shorter lists are parsed number by number.
+FEW_BYTES = 100
+#: From each of these numbers on a varint is one byte longer.
+_STEPS = np.array([1 << 7 * i for i in range(1, 10) if 7 * i < 63], np.int64)
 #: Wire types of the format's fields.
 VARINT, FIXED64, BYTES = 0, 1, 2
 
@@ -105,11 +112,11 @@ def parse_postings(data: bytes) -> tuple[str, int, int, list[int], list[int]]:
 
 
 @contextmanager
-def stream(path: str, mode: str):
-    """A binary stream of any store that Arrow reads; names in .gz are compressed."""
+def stream(path: str, mode: str, packed: bool = True):
+    """A binary stream of any store that Arrow reads; names in .gz are compressed if ``packed``."""
     fs, where = pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
     with (fs.open_input_stream if mode == "rb" else fs.open_output_stream)(where, compression=None) as raw:
-        if where.endswith(".gz"):
+        if packed and where.endswith(".gz"):
             with gzip.GzipFile(fileobj=raw, mode=mode) as f:
                 yield f
         else:
@@ -138,22 +145,70 @@ def gaps(index: Index) -> DataFrame:
     return rows.join(index.dict.select("termid", "term"), "termid").select("term", "docid", "gap", "tf")
 
 
-def _encoded_postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = []
-        for r in batch.to_pylist():
-            last, pairs = 0, []
-            for x in r["postings"]:
-                pairs.append((x["docid"] - last, x["tf"]))
-                last = x["docid"]
-            out.append(postings_list(r["term"], r["df"], r["cf"], pairs))
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["frame"])
-
-
-def _encoded_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = [message((1, r["docid"]), (2, r["name"]), (3, r["len"])) for r in batch.to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["frame"])
+def encoded_pairs(gaps: np.ndarray, tfs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of the postings (gap, tf), numbers of at least 0, and where each begins, with the end."""
+    sizes = [np.searchsorted(_STEPS, v, "right") + 1 for v in (gaps, tfs)]
+    inner = sum(np.where(v > 0, n + 1, 0) for v, n in zip((gaps, tfs), sizes, strict=True))
+    starts = np.concatenate([[0], np.cumsum(inner + 2)])
+    out = np.empty(starts[-1], np.uint8)
+    at = starts[:-1]
+    out[at], out[at + 1] = 4 << 3 | BYTES, inner
+    at = at + 2
+    for tag, v, n in ((1, gaps, sizes[0]), (2, tfs, sizes[1])):
+        there = v > 0
+        p, left, size = at[there], v[there], n[there]
+        out[p] = tag << 3 | VARINT
+        for k in range(int(size.max(initial=0))):
+            more = size > k
+            out[p[more] + 1 + k] = left[more] & 0x7F | np.where(size[more] > k + 1, 0x80, 0)
+            left = left >> 7
+        at = at + np.where(there, n + 1, 0)
+    return out, starts
+
+
+def _blobs(frames: Iterator[bytes], packed: bool) -> Iterator[pa.RecordBatch]:
+    """Frames with their lengths, many in one value, each a gzip member if ``packed``."""
+    held, size = [], 0
+
+    def put() -> pa.RecordBatch:
+        data = b"".join(held)
+        return pa.RecordBatch.from_arrays([pa.array([gzip.compress(data, 6) if packed else data], pa.binary())], names=["frames"])
+
+    for frame in frames:
+        held += [varint(len(frame)), frame]
+        size += len(frame)
+        if size > BLOB_BYTES:
+            yield put()
+            held, size = [], 0
+    if held:
+        yield put()
+
+
+def _encoded_postings(packed: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
+        for batch in batches:
+            ends, rows = batch.column("postings").offsets.to_numpy(), batch.column("postings").flatten()
+            ends = ends - ends[0]
+            docids, tfs = rows.field(0).to_numpy(), rows.field(1).to_numpy()
+            gaps = np.diff(docids, prepend=0)
+            first = ends[:-1][np.diff(ends) > 0]
+            gaps[first] = docids[first]
+            data, starts = encoded_pairs(gaps, tfs)
+            whole = memoryview(data)
+            heads = zip(*(batch.column(c).to_pylist() for c in ("term", "df", "cf")), strict=True)
+            for i, (term, df, cf) in enumerate(heads):
+                yield message((1, term), (2, df), (3, cf)) + bytes(whole[starts[ends[i]] : starts[ends[i + 1]]])
+
+    return lambda batches: _blobs(frames(batches), packed)
+
+
+def _encoded_docs(packed: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                yield message((1, r["docid"]), (2, r["name"]), (3, r["len"]))
+
+    return lambda batches: _blobs(frames(batches), packed)
 
 
 def export_ciff(index: Index, path: str, description: str = "") -> None:
@@ -163,17 +218,21 @@ def export_ciff(index: Index, path: str, description: str = "") -> None:
     """
     lists = _by_document(index).groupBy("termid").agg(F.sort_array(F.collect_list(F.struct("docid", "tf"))).alias("postings"), F.sum("tf").alias("cf"))
     lists = lists.join(index.dict, "termid").select("term", "df", "cf", "postings")
+    packed = path.endswith(".gz")
     parts = [
-        stage(lists, "ciff-lists").orderBy("term").mapInArrow(_encoded_postings, "frame binary"),
-        index.docs.select("docid", "name", "len").orderBy("name").mapInArrow(_encoded_docs, "frame binary"),
+        stage(lists, "ciff-lists").orderBy("term").mapInArrow(_encoded_postings(packed), "frames binary"),
+        index.docs.select("docid", "name", "len").orderBy("name").mapInArrow(_encoded_docs(packed), "frames binary"),
     ]
+    # staged, as all tasks write at once what the driver then copies part by part
+    parts = [stage(x.withColumn("at", F.monotonically_increasing_id()), "ciff-encoded") for x in parts]
     h = header(index, description).first()
-    with stream(path, "wb") as f:
+    with stream(path, "wb", packed=False) as f:
         first = message(*((i, v) for i, v in enumerate(h, 1)))
-        f.write(varint(len(first)) + first)
+        first = varint(len(first)) + first
+        f.write(gzip.compress(first) if packed else first)  # members one after the other are one file
         for frames in parts:
-            for row in frames.toLocalIterator():
-                f.write(varint(len(row.frame)) + bytes(row.frame))
+            for row in frames.orderBy("at").select("frames").toLocalIterator():
+                f.write(bytes(row.frames))
 
 
 def _frames(f) -> Iterator[bytes]:
@@ -190,13 +249,47 @@ def _frames(f) -> Iterator[bytes]:
         yield data
 
 
+def decoded(data: bytes) -> tuple[str, int, int, np.ndarray, np.ndarray]:
+    """``parse_postings``; long lists, if each posting has its two fields in their order, as a whole."""
+    head = data.find(bytes([4 << 3 | BYTES]), _head_end(data)) if len(data) > FEW_BYTES else -1
+    if head >= 0:
+        b = np.frombuffer(data, np.uint8, offset=head)
+        ends = np.flatnonzero(b < 0x80)  # keys, lengths and numbers alike
+        starts = np.concatenate([[0], ends[:-1] + 1])
+        size = ends - starts + 1
+        if len(ends) % 6 == 0 and ends[-1] == len(b) - 1 and size.max() <= 9:
+            numbers = np.zeros(len(ends), np.int64)
+            for k in range(int(size.max())):
+                more = size > k
+                numbers[more] |= (b[starts[more] + k] & 0x7F).astype(np.int64) << (7 * k)
+            n, size = numbers.reshape(-1, 6), size.reshape(-1, 6)
+            if (n[:, (0, 2, 4)] == (4 << 3 | BYTES, 1 << 3, 2 << 3)).all() and (n[:, 1] == size[:, 2:].sum(axis=1)).all():
+                term, df, cf, _, _ = parse_postings(data[:head])
+                return term, df, cf, np.cumsum(n[:, 3]), n[:, 5]
+    term, df, cf, docids, tfs = parse_postings(data)
+    return term, df, cf, np.array(docids, np.int64), np.array(tfs, np.int64)
+
+
+def _head_end(data: bytes) -> int:
+    """Where the fields before the first posting end."""
+    at = 0
+    while at < len(data):
+        key, after = read_varint(data, at)
+        if key == (4 << 3 | BYTES):
+            break
+        n, after = read_varint(data, after)
+        at = after + n if key & 7 == BYTES else after
+    return at
+
+
 def _decoded_postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [parse_postings(x) for x in batch.column("frame").to_pylist()]
-        lists = [[{"docid": d, "tf": t} for d, t in zip(r[3], r[4], strict=True)] for r in rows]
-        kind = pa.list_(pa.struct([("docid", pa.int64()), ("tf", pa.int64())]))
+        rows = [decoded(x) for x in batch.column("frame").to_pylist()]
+        none = [np.zeros(0, np.int64)]
+        pairs = pa.StructArray.from_arrays([pa.array(np.concatenate(none + [r[i] for r in rows])) for i in (3, 4)], names=["docid", "tf"])
+        ends = pa.array(np.cumsum([0] + [len(r[3]) for r in rows]), pa.int32())
         yield pa.RecordBatch.from_arrays(
-            [batch.column("nr"), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array(lists, kind)],
+            [batch.column("nr"), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.ListArray.from_arrays(ends, pairs)],
             names=["termid", "term", "df", "postings"],
         )
 

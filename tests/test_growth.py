@@ -2,12 +2,14 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from quern.functions import text
 from quern.index import build_fielded_index, build_index, number_documents, regex_counts
-from quern.operators import rank, reindex
+from quern.operators import experiments, rank, reindex
+from quern.sources import ciff
 from tests.test_text import greedy
 
 
@@ -83,3 +85,39 @@ def test_words_are_counted_without_moving_them(spark):
     df = {r.term: r.df for r in fielded.dict.collect()}
     rows = [set((r.terms + " " + r.body).split()) - {"aa"} for r in corpus.withColumnRenamed("title", "terms").collect()]
     assert df == {w: sum(w in r for r in rows) for w in set().union(*rows)}
+
+
+def test_postings_are_coded_as_a_whole():
+    rng = random.Random(7)
+    pairs = [(rng.choice((1, 127, 128, 300, 2**20, 2**40)), rng.choice((1, 5, 127, 128, 70_000))) for _ in range(200)]
+    for cut in (pairs, pairs[:3], [(0, 4), *pairs], []):  # a gap of 0 is left out of its message
+        gaps, tfs = (np.array([p[i] for p in cut], np.int64) for i in (0, 1))
+        data, starts = ciff.encoded_pairs(gaps, tfs)
+        whole = ciff.message((1, 'wörd"'), (2, 2), (3, 5)) + data.tobytes()
+        assert whole == ciff.postings_list('wörd"', 2, 5, cut) and len(starts) == len(cut) + 1 and starts[-1] == len(data)
+        term, df, cf, docids, got = ciff.decoded(whole)
+        assert (term, df, cf, list(docids), list(got)) == ciff.parse_postings(whole)
+
+
+def test_interchange_is_encoded_by_all_tasks_at_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ciff, "BLOB_BYTES", 100)
+    index = build_index(collection(spark)[0].withColumnRenamed("body", "content")).staged()
+    stage, seen = ciff.stage, []
+    monkeypatch.setattr(ciff, "stage", lambda df, name: seen.append(name) or stage(df, name))
+    for name in ("x.ciff", "x.ciff.gz"):
+        ciff.export_ciff(index, str(tmp_path / name), "x")
+    assert "ciff-encoded" in seen
+    with ciff.stream(str(tmp_path / "x.ciff.gz"), "rb") as f, open(tmp_path / "x.ciff", "rb") as g:
+        frames = list(ciff._frames(f))
+        assert frames == list(ciff._frames(g))
+    terms = [ciff.parse_postings(x)[0] for x in frames[1 : 1 + index.dict.count()]]
+    assert terms == sorted(terms) and len(frames) == 1 + len(terms) + index.docs.count()
+
+
+def test_few_needles_are_searched_without_a_test_of_every_pair(spark):
+    texts = spark.createDataFrame([(i, None if i == 9 else f"{i} ab ü𝒳 {i % 3}") for i in range(10)], "id long, text string")
+    needles = spark.createDataFrame([("p", "𝒳 1"), ("q", "ab"), ("q", "b ü"), (None, "2 ab"), ("r", "")], "needle_id string, needle string")
+    found = experiments.containments(texts, needles)
+    want = [(i, n) for i in range(9) for n, x in (("p", "𝒳 1"), ("q", "ab"), ("q", "b ü"), (None, "2 ab")) if x in f"{i} ab ü𝒳 {i % 3}"]
+    assert sorted(map(repr, map(tuple, found.collect()))) == sorted(map(repr, want))
+    assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
